@@ -105,17 +105,19 @@ def infer_schema(df: DataFrame, seed: int = 0, enum_max: int = 50, min_rate: flo
     return p.select("column", "type", dist_text(p).alias("distribution"), "sample")
 
 
-def align_schemas(sources: dict[str, DataFrame], enum_max: int = 50) -> DataFrame:
+def align_schemas(sources: dict[str, DataFrame], enum_max: int = 50, strip: str | None = None) -> DataFrame:
     """Column signatures across sources, matched on the slugified column name.
 
     → ``(column, sources, types, n_sources, conflict)``: which sources have the
-    column, the set of inferred types and whether they disagree.  Each source
+    column, the set of inferred types and whether they disagree.  ``strip`` is
+    an optional regex removed from names first (e.g. a table prefix).  Each source
     is profiled once (a fixed number of jobs per source, not per column).
     """
     sigs = []
     for name, df in sources.items():
         t = infer_types(df, enum_max=enum_max)
-        sigs.append(t.select(slugify(F.col("column")).alias("column"),
+        name_col = F.regexp_replace(F.col("column"), strip, "") if strip else F.col("column")
+        sigs.append(t.select(slugify(name_col).alias("column"),
                              F.lit(name).alias("source"), F.col("type")))
     allsig = reduce(lambda a, b: a.unionByName(b), sigs)
     return (allsig.groupBy("column")

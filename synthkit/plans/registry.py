@@ -29,9 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def round_like_sql(c, places: int = PLACES):
+    """``round(x * 10^p) / 10^p``: the same double as SQL engines that round the binary value.
+
+    ``F.round(x, p)`` rounds the shortest decimal text half-up, which differs
+    from binary rounding on ties such as 0.0499185.
+    """
+    m = float(10 ** places)
+    return F.round(c * F.lit(m)) / F.lit(m)
+
+
 def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
     """Round every double column so that last-digit float differences do not matter."""
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name)
+    return df.select(*[round_like_sql(F.col(f.name), places).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
