@@ -1,18 +1,20 @@
 """Global order without a single-task window.
 
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.
-Here a global order is built the way a distributed sort works:
+Two distributed replacements:
 
-1. ``orderBy`` range-partitions and sorts (balanced when the sort key is
-   unique, so callers always add a tie column);
-2. each row is tagged with its partition id and ``monotonically_increasing_id``
-   and the result is ``checkpoint()``-ed, which fixes the partitioning so the
-   tags are stable across re-execution and executor loss;
-3. per-partition totals (one row per partition) give offsets, which are
-   broadcast back (their size is the partition count, not the data size).
-
-Running sums inside a partition use a window partitioned by the partition id,
-so every window task holds one sorted range partition, never the whole table.
+* :func:`with_running_sums` — running sums over a numeric column whose values
+  are distinct within each group (value-count tables).  Values are cut into
+  ``B`` buckets at approximate quantiles (a bounded sketch; only ``B-1`` edges
+  per group reach the driver), per-bucket totals (groups × B rows) give the
+  offsets, which are broadcast, and a window partitioned by (group, bucket)
+  finishes the sum.  No task sees more than about 1/B of the values, and a hot
+  value is already one row because callers aggregate by value first.
+* :func:`with_position` — a dense position for any (composite, unique) sort
+  key: ``orderBy`` range-partitions and sorts, each row is tagged with its
+  partition id and ``monotonically_increasing_id`` and the result is
+  ``checkpoint()``-ed (fixed partitioning, stable tags across retries), then
+  per-partition counts give broadcast offsets.
 """
 
 from __future__ import annotations
@@ -25,48 +27,62 @@ from synthkit.session import scratch_dir
 _PID, _MID = "_sk_pid", "_sk_mid"
 
 
-def _sorted_checkpoint(df: DataFrame, order_cols: list) -> DataFrame:
-    scratch_dir(df.sparkSession)  # makes sure a checkpoint dir is set
-    tagged = (df.orderBy(*order_cols)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id()))
-    return tagged.checkpoint(eager=True)
+def _buckets(df: DataFrame) -> int:
+    return max(16, 4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def with_running_sums(df: DataFrame, order_cols: list, sums: dict[str, Column],
-                      total_prefix: str | None = None) -> DataFrame:
-    """Add inclusive running sums over the global order ``order_cols``.
+def with_running_sums(df: DataFrame, x: str, sums: dict[str, Column], groups: list[str] | None = None,
+                      total_prefix: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Add inclusive running sums of ``sums`` over ascending ``x`` within each group.
 
-    ``sums`` maps an output name to the Column being summed.  When
-    ``total_prefix`` is given the grand totals are added as ``<prefix><name>``.
+    ``x`` must be numeric and unique within a group.  ``total_prefix`` adds the
+    group totals as ``<prefix><name>``.
     """
+    groups = list(groups or [])
+    b = buckets or _buckets(df)
     base = df
     for name, c in sums.items():
         base = base.withColumn("_sk_v_" + name, c)
-    srt = _sorted_checkpoint(base, order_cols)
-    part = srt.groupBy(_PID).agg(*[F.sum("_sk_v_" + n).alias("_sk_p_" + n) for n in sums])
-    w_off = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: a single-task window here is bounded by the partition count
-    offsets = part.select(
-        _PID,
-        *[F.coalesce(F.sum("_sk_p_" + n).over(w_off), F.lit(0)).alias("_sk_o_" + n) for n in sums],
-        *([F.sum("_sk_p_" + n).over(Window.partitionBy()).alias(total_prefix + n) for n in sums]
-          if total_prefix else []),
-    )
-    w_in = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, 0)
-    out = srt.join(F.broadcast(offsets), _PID)
+    probs = [i / b for i in range(1, b)]
+    xd = F.col(x).cast("double")
+    if groups:
+        if len(groups) != 1:
+            raise ValueError("with_running_sums supports one group column")
+        g = groups[0]
+        rows = base.groupBy(g).agg(F.percentile_approx(xd, probs, 10000).alias("e")).collect()
+        edge_map = F.create_map(*[v for r in rows for v in (F.lit(r[g]), F.array(*[F.lit(float(e)) for e in r["e"]]))])
+        edges = edge_map[F.col(g)]
+    else:
+        e = base.agg(F.percentile_approx(xd, probs, 10000)).first()[0] or []
+        edges = F.array(*[F.lit(float(v)) for v in e]) if e else F.array().cast("array<double>")
+    base = base.withColumn("_sk_b", F.size(F.filter(edges, lambda v: v < xd)))
+    keys = groups + ["_sk_b"]
+    tot = base.groupBy(*keys).agg(*[F.sum("_sk_v_" + n).alias("_sk_t_" + n) for n in sums])
+    w_off = Window.partitionBy(*groups).orderBy("_sk_b").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*groups)
+    off = tot.select(*keys, *[F.coalesce(F.sum("_sk_t_" + n).over(w_off), F.lit(0)).alias("_sk_o_" + n) for n in sums],
+                     *([F.sum("_sk_t_" + n).over(w_all).alias(total_prefix + n) for n in sums] if total_prefix else []))
+    w_in = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    out = base.join(F.broadcast(off), keys)  # groups × B rows
     for n in sums:
         out = out.withColumn(n, F.col("_sk_o_" + n) + F.sum("_sk_v_" + n).over(w_in))
-    drop = [_PID, _MID] + [p + n for n in sums for p in ("_sk_v_", "_sk_o_")]
-    return out.drop(*drop)
+    return out.drop("_sk_b", *[p + n for n in sums for p in ("_sk_v_", "_sk_o_")])
+
+
+def _sorted_checkpoint(df: DataFrame, order_cols: list) -> DataFrame:
+    scratch_dir(df.sparkSession)  # makes sure a checkpoint dir is set
+    tagged = (df.orderBy(*order_cols)
+              .withColumn(_PID, F.spark_partition_id())
+              .withColumn(_MID, F.monotonically_increasing_id()))
+    return tagged.checkpoint(eager=True)
 
 
-def with_position(df: DataFrame, order_cols: list, name: str = "position",
-                  start: int = 1) -> DataFrame:
+def with_position(df: DataFrame, order_cols: list, name: str = "position", start: int = 1) -> DataFrame:
     """Dense position in the global order (``start``-based), no window, no single task."""
     srt = _sorted_checkpoint(df, order_cols)
     counts = srt.groupBy(_PID).agg(F.count(F.lit(1)).alias("_sk_n"))
     w_off = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition: this single-task window is bounded by the partition count
     offsets = counts.select(_PID, F.coalesce(F.sum("_sk_n").over(w_off), F.lit(0)).alias("_sk_off"))
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
     return (srt.join(F.broadcast(offsets), _PID)

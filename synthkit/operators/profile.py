@@ -204,12 +204,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     vc = (df.select(F.explode(arr).alias("_e")).select("_e.column", "_e.x")
           .filter(F.col("x").isNotNull() & ~F.isnan("x"))
           .groupBy("column", "x").agg(F.count(F.lit(1)).alias("cnt")))
-    cum = with_running_sums(vc, [F.col("column"), F.col("x")], {"cum": F.col("cnt")})
-    # running count restarts per column: subtract what earlier columns contributed
-    start = cum.groupBy("column").agg(F.min(F.col("cum") - F.col("cnt")).alias("_start"),
-                                      F.sum("cnt").alias("n"))
-    cum = cum.join(F.broadcast(start), "column").withColumn("hi", F.col("cum") - F.col("_start")) \
-             .withColumn("lo", F.col("hi") - F.col("cnt"))  # ranks [lo, hi) hold value x
+    cum = with_running_sums(vc, "x", {"hi": F.col("cnt")}, groups=["column"], total_prefix="n_")
+    cum = cum.withColumn("lo", F.col("hi") - F.col("cnt"))  # ranks [lo, hi) hold value x
+    start = cum.groupBy("column").agg(F.first("n_hi").alias("n"))
     probs_arr = F.array(*[F.lit(float(q)) for q in probs])
     targets = (start.select("column", "n", F.explode(probs_arr).alias("prob"))
                .withColumn("h", F.col("prob") * (F.col("n") - 1))
@@ -393,7 +390,7 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
     """``(x, rank)``: 1-based average rank of each distinct value (ties share the mean rank)."""
     vc = (df.select(_as_double(df, col).alias("x")).filter(F.col("x").isNotNull())
           .groupBy("x").agg(F.count(F.lit(1)).alias("cnt")))
-    cum = with_running_sums(vc, [F.col("x")], {"cum": F.col("cnt")})
+    cum = with_running_sums(vc, "x", {"cum": F.col("cnt")})
     return cum.select("x", (F.col("cum") - (F.col("cnt") - 1) / 2.0).alias("rank"))
 
 
