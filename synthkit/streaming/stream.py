@@ -118,7 +118,11 @@ def stream_drift(sdf: DataFrame, value: str, edges: list[float], base_shares: li
 
 
 def late_rows(q: StreamingQuery) -> int:
-    """Rows dropped because they arrived behind the watermark, over all finished batches."""
+    """Rows dropped because they arrived behind the watermark, over all finished batches.
+
+    Counted where the state store sees them: for a windowed aggregate that is
+    one row per late (window, key) partial aggregate; for dedup, input rows.
+    """
     total = 0
     for p in q.recentProgress:
         for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
