@@ -24,6 +24,7 @@ from synthkit.functions.text import shorten
 from synthkit.operators.ordering import with_running_sums
 
 _CHUNK = 100
+_AGGS_PER_PLAN = 24  # keep each aggregate's generated code small enough for whole-stage codegen
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -66,8 +67,9 @@ def _chunks(items: list, n: int = _CHUNK):
 def _one_row_unpivot(df: DataFrame, specs: dict[str, list[tuple[str, Column, str]]]) -> DataFrame:
     """``specs``: column name → [(stat, agg Column, sql type)].  One agg per chunk, then inline."""
     names = list(specs)
+    per = max(1, max(len(v) for v in specs.values()))
     out = None
-    for chunk in _chunks(names):
+    for chunk in _chunks(names, max(1, _AGGS_PER_PLAN // per)):
         aggs, structs = [], []
         for i, name in enumerate(chunk):
             fields = [F.lit(name).alias("column")]

@@ -63,8 +63,11 @@ def profile_table(df: DataFrame, seed: int = 0, enum_max: int = 50, min_rate: fl
     is_unique, family, fit parameters, shares (array<struct<value,share>>),
     shares_text and sample.
     """
-    vc = value_counts(df)
-    stats = column_stats(df)
+    # the long-form counts feed distinct counts, shares and samples: write them once
+    vc = value_counts(df).checkpoint()
+    distinct = vc.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    stats = (column_stats(df, exact_distinct=False).drop("distinct").join(distinct, "column", "left")
+             .withColumn("distinct", F.coalesce(F.col("distinct"), F.lit(0)).cast("bigint")))
     types = infer_types(df, min_rate=min_rate, enum_max=enum_max, stats=stats)
     fit_cols = [f.name for f in df.schema.fields
                 if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType,

@@ -8,6 +8,7 @@ category distances use a full outer join of the two share tables.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -255,11 +256,15 @@ def words_of(text: Column) -> Column:
 
 
 def _shingles(words: Column, k: int) -> Column:
-    """Distinct word k-grams.  ``words`` must be a column reference: an expression would be
-    re-evaluated inside the lambda for every k-gram (no common-subexpression reuse there)."""
+    """Distinct word k-grams as 64-bit hashes (no k-gram strings are built).
+
+    ``words`` must be a column reference: an expression would be re-evaluated
+    inside the lambda for every k-gram (no common-subexpression reuse there).
+    Texts shorter than k words give one shingle of all their words.
+    """
     n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                        lambda i: F.array_join(F.slice(words, i, k), " "))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))),
+                        lambda i: F.xxhash64(*[F.coalesce(F.get(words, i + j), F.lit("")) for j in range(k)]))
     return F.array_distinct(grams)
 
 
@@ -280,6 +285,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, hashes: int
     rows = hashes // bands
     words = df.select(F.col(key).alias("k"), words_of(F.col(text)).alias("w"))
     sh = words.select("k", _shingles(F.col("w"), k).alias("sh")).checkpoint()
+    # shingles are already 64-bit hashes; the MinHash functions re-hash them (cheap)
     sig = sh.select("k", F.array(*[F.array_min(F.transform("sh", _minhash(i))) for i in range(hashes)]).alias("mh"))
     band = sig.select("k", F.posexplode(F.array(*[
         F.xxhash64(*[F.col("mh")[b * rows + j] for j in range(rows)]) for b in range(bands)])).alias("band", "h"))
@@ -334,6 +340,8 @@ PII_PATTERNS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "secret": r"(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,}|ghp_[A-Za-z0-9]{36}|xox[bp]-[A-Za-z0-9-]{10,})",
 }
+PII_GUARDS = {"email": ["@"], "secret": ["AKIA", "sk-", "ghp_", "xoxb-", "xoxp-"], "ssn": ["-"],
+              "ipv4": ["."]}
 PII_MASKS = [("secret", "<SECRET>"), ("email", "<EMAIL>"), ("card", "<CARD>"), ("ssn", "<SSN>"),
              ("ipv4", "<IP>"), ("phone", "<PHONE>")]
 
@@ -346,8 +354,12 @@ def pii_scan(df: DataFrame, text_cols: list[str], luhn: bool = False) -> DataFra
     specs = {}
     for c in text_cols:
         for kind, pat in PII_PATTERNS.items():
-            specs[f"{kind}\u0001{c}"] = [("rows", F.count_if(F.col(c).rlike(pat)), "bigint"),
-                                         ("hits", F.sum(F.regexp_count(F.col(c), F.lit(pat))), "bigint")]
+            hits = F.regexp_count(F.col(c), F.lit(pat))
+            guard = PII_GUARDS.get(kind)
+            if guard:  # a literal every match must contain: skip the regex on most texts
+                hits = F.when(reduce(lambda a, b: a | b, [F.col(c).contains(g) for g in guard]), hits) \
+                    .otherwise(F.lit(0))
+            specs[f"{kind}\u0001{c}"] = [("rows", F.count_if(hits > 0), "bigint"), ("hits", F.sum(hits), "bigint")]
         if luhn:
             found = F.filter(F.regexp_extract_all(F.col(c), F.lit(PII_PATTERNS["card"]), 0),
                              lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")))
