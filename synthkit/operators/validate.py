@@ -181,18 +181,47 @@ def corr_drift(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
     return a.join(b, ["a", "b"]).withColumn("delta", F.abs(F.col("r_src") - F.col("r_syn")))
 
 
+def ks_many(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
+    """KS for many columns in one pass: long form (column, x), running counts grouped by column."""
+    def long(df, a, b):
+        arr = F.array(*[F.struct(F.lit(c).alias("column"), _as_double(df, c).alias("x")) for c in cols])
+        return (df.select(F.explode(arr).alias("e")).select("e.column", "e.x").filter(F.col("x").isNotNull())
+                .select("column", "x", F.lit(a).alias("a"), F.lit(b).alias("b")))
+    vc = long(src, 1, 0).unionByName(long(syn, 0, 1)).groupBy("column", "x") \
+        .agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
+    cum = with_running_sums(vc, "x", {"ra": F.col("ca"), "rb": F.col("cb")}, groups=["column"], total_prefix="n_")
+    return cum.groupBy("column").agg(
+        F.max(F.abs(F.col("ra") / F.col("n_ra") - F.col("rb") / F.col("n_rb"))).alias("ks"),
+        F.first("n_ra").cast("bigint").alias("n_src"), F.first("n_rb").cast("bigint").alias("n_syn"))
+
+
+def tail_many(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
+    """Tail ratio for many columns: two quantile passes in all (one per side)."""
+    def spread(df, name):
+        q = quantiles(df, cols, [0.5, 0.99])
+        return q.groupBy("column").agg((F.max_by("value", "prob") - F.min_by("value", "prob")).alias(name))
+    j = spread(syn, "b").join(spread(src, "a"), "column")
+    ratio = F.col("b") / F.col("a")
+    return j.select("column", ratio.alias("tail_ratio"), F.when(ratio < 0.9, F.lit(TAIL_NOTE)).alias("note"))
+
+
 def column_fidelity(src: DataFrame, syn: DataFrame, types: dict[str, str]) -> DataFrame:
     """Per column (column, fidelity, status, note): by type 100·(1−KS), 100·(1−TVD), label
     fidelity, or uniqueness; times (1 − Δnull).  Numeric notes come from the tail ratio."""
     parts = []
     nulls = null_parity(src.select(*types), syn.select(*[c for c in types if c in syn.columns]))
+    dist_cols = [c for c, t in types.items() if t in ("int", "float", "date")]
+    tail_cols = [c for c, t in types.items() if t in ("int", "float")]
+    if dist_cols:  # all numeric/date columns share one KS pass and one tail pass
+        f = ks_many(src, syn, dist_cols).select("column", (100 * (1 - F.col("ks"))).alias("score"))
+        if tail_cols:
+            f = f.join(tail_many(src, syn, tail_cols).select("column", "note"), "column", "left")
+        else:
+            f = f.withColumn("note", F.lit(None).cast("string"))
+        parts.append(f)
     for c, t in types.items():
         if t in ("int", "float", "date"):
-            f = ks(src, syn, c).select("column", (100 * (1 - F.col("ks"))).alias("score"))
-            if t != "date":
-                f = f.join(tail_ratio(src, syn, c).select("column", "note"), "column", "left")
-            else:
-                f = f.withColumn("note", F.lit(None).cast("string"))
+            continue
         elif t == "enum":
             f = tvd(src, syn, c).select("column", (100 * (1 - F.col("tvd"))).alias("score"),
                                         F.lit(None).cast("string").alias("note"))
