@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -45,8 +44,8 @@ def _checkpoint_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
-    # Local runs (tests, bench) only: no shared folder exists, so use a fresh temp dir.
-    local = tempfile.mkdtemp(prefix="synthkit-ckpt-")
+    # Local runs (tests, bench) without the setting: a folder of the session's warehouse.
+    local = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
