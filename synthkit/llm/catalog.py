@@ -56,3 +56,25 @@ def op6_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op8_token_files")
+def op8_token_files(spark, sf_dir):
+    from synthkit.llm.token_file import token_files
+    return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op10_pack")
+def op10_pack(spark, sf_dir):
+    from synthkit.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register("op9_secrets")
+def op9_secrets(spark, sf_dir):
+    from synthkit.llm.secret_scan import scan_secrets, spans_text
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    of = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in range(3)]
+    return found.select("doc_id", of[0].alias("n_assign"), of[1].alias("n_access"), of[2].alias("n_hex"),
+                        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
