@@ -78,3 +78,10 @@ def op9_secrets(spark, sf_dir):
     of = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in range(3)]
     return found.select("doc_id", of[0].alias("n_assign"), of[1].alias("n_access"), of[2].alias("n_hex"),
                         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+@register("op4_shards")
+def op4_shards(spark, sf_dir):
+    from synthkit.llm.sharding import shard_by_bytes
+    return shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
