@@ -85,3 +85,25 @@ def op4_shards(spark, sf_dir):
     from synthkit.llm.sharding import shard_by_bytes
     return shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op3_fingerprints")
+def op3_fingerprints(spark, sf_dir):
+    from synthkit.llm.simhash import edited_fingerprints, hex64
+    found = edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", "edited_sha256", hex64(F.col("fingerprint")).alias("fingerprint"),
+                        hex64(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@register("fingerprint_search")
+def fingerprint_search(spark, sf_dir):
+    """Documents within 3 bits of each document whose id is divisible by 50 (itself included)."""
+    from synthkit.llm.common import materialize
+    from synthkit.llm.simhash import fingerprints, hex64, near_fingerprints
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = materialize(fingerprints(docs, "row", "text", ["doc_id"]), "fingerprints")
+    queries = found.where(F.col("doc_id") % 50 == 0)
+    counts = found.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    near = near_fingerprints(queries, found).join(counts, "fingerprint").groupBy("query").agg(F.sum("n").alias("n_near"))
+    return queries.join(near, F.col("fingerprint") == F.col("query")).select(
+        "doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "n_near")
