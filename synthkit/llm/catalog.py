@@ -107,3 +107,11 @@ def fingerprint_search(spark, sf_dir):
     near = near_fingerprints(queries, found).join(counts, "fingerprint").groupBy("query").agg(F.sum("n").alias("n_near"))
     return queries.join(near, F.col("fingerprint") == F.col("query")).select(
         "doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "n_near")
+
+
+@register("op7_near_duplicates")
+def op7_near_duplicates(spark, sf_dir):
+    from synthkit.llm.simhash import hex64
+    from synthkit.llm.simhash_dedup import near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
