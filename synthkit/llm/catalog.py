@@ -115,3 +115,12 @@ def op7_near_duplicates(spark, sf_dir):
     from synthkit.llm.simhash_dedup import near_duplicates
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@register("op5_pseudonyms")
+def op5_pseudonyms(spark, sf_dir):
+    """Every document with its private values replaced, and how many of each kind."""
+    from synthkit.llm.pseudonyms import KINDS, pseudonymize
+    done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus-key-1")
+    of = [F.size(F.filter("kinds", lambda x, k=k: x == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return done.select("doc_id", "text", F.size("kinds").cast("bigint").alias("n_private"), *of)
