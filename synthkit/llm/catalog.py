@@ -124,3 +124,13 @@ def op5_pseudonyms(spark, sf_dir):
     done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus-key-1")
     of = [F.size(F.filter("kinds", lambda x, k=k: x == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return done.select("doc_id", "text", F.size("kinds").cast("bigint").alias("n_private"), *of)
+
+
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+@register("op1_url_filter")
+def op1_url_filter(spark, sf_dir):
+    from synthkit.llm.url_filter import judge_with_rules
+    found = judge_with_rules(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "block_probability")
