@@ -134,3 +134,19 @@ def op1_url_filter(spark, sf_dir):
     from synthkit.llm.url_filter import judge_with_rules
     found = judge_with_rules(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return found.select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels of the documents that may be learned from: crc32 of the id as text, modulo 4, is not 2."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    from synthkit.llm.toxicity import score_texts, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = train(docs, learnable(table(spark, sf_dir, "labels")))
+    scored = score_texts(docs, net, keep=["doc_id"])
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), "toxic")
