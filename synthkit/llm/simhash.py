@@ -68,7 +68,7 @@ def fingerprints(rows: DataFrame, row_id: str, text_col: str = "text", keep: lis
     keep = keep or []
     votes = rows.select(row_id, *keep, F.explode_outer(terms(F.col(text_col))).alias("_term")).select(
         row_id, *keep, F.xxhash64("_term").alias("_h"),
-        F.coalesce(F.least(F.char_length("_term"), F.lit(MOST_WEIGHT)), F.lit(0)).cast("bigint").alias("_w"))
+        F.when(F.col("_term").isNull(), 0).otherwise(F.least(F.char_length("_term"), F.lit(MOST_WEIGHT))).cast("bigint").alias("_w"))
     sums = votes.groupBy(row_id, *keep).agg(F.sum("_w").alias("_total"), *vote_sums(F.col("_h"), F.col("_w")))
     return sums.select(row_id, *keep, majority(F.col("_total")).alias("fingerprint"))
 

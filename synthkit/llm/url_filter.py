@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from synthkit.llm.common import ascii_lower, free_name, materialize
 
 MOST_LABELLED = 8_000
-SMOOTH = 20.0
+SMOOTH = 20.0  # labelled urls' worth of the overall rate in a suffix's statistics
+FOLDS = 5
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "host_digits",
             "longest_label", "rate_last", "rate_two")
 
@@ -119,13 +120,19 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", m
     sample = materialize(sample.select("_url", "_label", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path")), "labelled")
     n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
     overall = blocked / n if n else 0.0
-    rates = {}
+    rates, folded = {}, sample.withColumn("_fold", F.pmod(F.xxhash64("_url", F.lit(5)), F.lit(FOLDS)))
     for name, suffix in zip(("rate_last", "rate_two"), _suffixes(F.col("_host"))):
-        rates[name] = sample.groupBy(suffix.alias("_suffix")).agg(
-            ((F.sum("_label") + SMOOTH * overall) / (F.count("*") + SMOOTH)).alias(name))
+        by_fold = folded.groupBy(suffix.alias("_suffix"), "_fold").agg(F.sum("_label").alias("_s"), F.count("*").alias("_c"))
+        whole = by_fold.groupBy("_suffix").agg(F.sum("_s").alias("_all_s"), F.sum("_c").alias("_all_c"))
+        rates[name] = whole.select("_suffix", ((F.col("_all_s") + SMOOTH * overall) / (F.col("_all_c") + SMOOTH)).alias(name))
+        # a training url's statistics leave out its own fold, or they would give its label away
+        other = by_fold.join(whole, "_suffix").select("_suffix", "_fold", (
+            (F.col("_all_s") - F.col("_s") + SMOOTH * overall) / (F.col("_all_c") - F.col("_c") + SMOOTH)).alias(name))
+        folded = folded.withColumn("_suffix", suffix).join(other, ["_suffix", "_fold"]).drop("_suffix")
     model = UrlModel(None, rates, overall)
     if 0 < blocked < n:
-        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(model.features(sample, "_url", "_host", "_path"))
+        rows = folded.withColumns(lexical(F.col("_url"), F.col("_host"), F.col("_path")))
+        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows)
         rows = rows.withColumn("_weight", F.when(F.col("_label") == 1, n / (2 * blocked)).otherwise(n / (2 * (n - blocked))))
         boosted = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_prediction",
                                 weightCol="_weight", maxIter=trees, maxDepth=depth, maxBins=32, seed=seed)
