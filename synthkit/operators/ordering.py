@@ -3,12 +3,10 @@
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.
 Two distributed replacements:
 
-* :func:`with_running_sums` — running sums over a numeric column whose values
-  are distinct within each group (value-count tables).  Values are cut into
-  ``B`` buckets at approximate quantiles (a bounded sketch; only ``B-1`` edges
-  per group reach the driver), per-bucket totals (groups × B rows) give the
-  offsets, which are broadcast, and a window partitioned by (group, bucket)
-  finishes the sum.  No task sees more than about 1/B of the values, and a hot
+* :func:`with_running_sums` — running sums over a column whose values are
+  distinct within each group (value-count tables).  Rows are dealt by ranges
+  of (group, x) and written once; totals by partition give the offsets of the
+  partitions, and a window inside each partition finishes the sum.  A hot
   value is already one row because callers aggregate by value first.
 * :func:`with_position` — a dense position for any (composite, unique) sort
   key: ``orderBy`` range-partitions and sorts, each row is tagged with its
@@ -27,46 +25,35 @@ from synthkit.session import scratch_dir
 _PID, _MID = "_sk_pid", "_sk_mid"
 
 
-def _buckets(df: DataFrame) -> int:
-    return max(16, 4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def with_running_sums(df: DataFrame, x: str, sums: dict[str, Column], groups: list[str] | None = None,
-                      total_prefix: str | None = None, buckets: int | None = None) -> DataFrame:
+                      total_prefix: str | None = None) -> DataFrame:
     """Add inclusive running sums of ``sums`` over ascending ``x`` within each group.
 
-    ``x`` must be numeric and unique within a group.  ``total_prefix`` adds the
-    group totals as ``<prefix><name>``.
+    ``x`` must be unique within a group.  ``total_prefix`` adds the group
+    totals as ``<prefix><name>``.  The input is computed once: it is dealt by
+    ranges of (group, x), written to the shared folder with its partition
+    number, and read back for the totals and the running sums.
     """
     groups = list(groups or [])
-    b = buckets or _buckets(df)
+    spark = df.sparkSession
     base = df
     for name, c in sums.items():
         base = base.withColumn("_sk_v_" + name, c)
-    probs = [i / b for i in range(1, b)]
-    xd = F.col(x).cast("double")
-    if groups:
-        if len(groups) != 1:
-            raise ValueError("with_running_sums supports one group column")
-        g = groups[0]
-        rows = base.groupBy(g).agg(F.percentile_approx(xd, probs, 10000).alias("e")).collect()
-        edge_map = F.create_map(*[v for r in rows for v in (F.lit(r[g]), F.array(*[F.lit(float(e)) for e in r["e"]]))])
-        edges = edge_map[F.col(g)]
-    else:
-        e = base.agg(F.percentile_approx(xd, probs, 10000)).first()[0] or []
-        edges = F.array(*[F.lit(float(v)) for v in e]) if e else F.array().cast("array<double>")
-    base = base.withColumn("_sk_b", F.size(F.filter(edges, lambda v: v < xd)))
-    keys = groups + ["_sk_b"]
+    ranged = base.repartitionByRange(*groups, x).withColumn(_PID, F.spark_partition_id())
+    path = scratch_dir(spark, "running")
+    ranged.write.parquet(path)
+    base = spark.read.schema(ranged.schema).parquet(path)
+    keys = groups + [_PID]
     tot = base.groupBy(*keys).agg(*[F.sum("_sk_v_" + n).alias("_sk_t_" + n) for n in sums])
-    w_off = Window.partitionBy(*groups).orderBy("_sk_b").rowsBetween(Window.unboundedPreceding, -1)
+    w_off = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*groups)
     off = tot.select(*keys, *[F.coalesce(F.sum("_sk_t_" + n).over(w_off), F.lit(0)).alias("_sk_o_" + n) for n in sums],
                      *([F.sum("_sk_t_" + n).over(w_all).alias(total_prefix + n) for n in sums] if total_prefix else []))
     w_in = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    out = base.join(F.broadcast(off), keys)  # groups × B rows
+    out = base.join(F.broadcast(off), keys)  # at most (groups + partitions) rows
     for n in sums:
         out = out.withColumn(n, F.col("_sk_o_" + n) + F.sum("_sk_v_" + n).over(w_in))
-    return out.drop("_sk_b", *[p + n for n in sums for p in ("_sk_v_", "_sk_o_")])
+    return out.drop(_PID, *[p + n for n in sums for p in ("_sk_v_", "_sk_o_")])
 
 
 def _sorted_checkpoint(df: DataFrame, order_cols: list) -> DataFrame:

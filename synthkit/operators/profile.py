@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,10 +97,19 @@ def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             .groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def exact_mean(x: Column) -> Column:
+    """Mean from an exact decimal sum; null where the values do not fit."""
+    exact = x.try_cast("decimal(28,10)")
+    return F.when(F.count(exact) == F.count(x), F.sum(exact).cast("double") / F.count(x))
+
+
 def column_stats(df: DataFrame, cols: list[str] | None = None,
                  exact_distinct: bool = True) -> DataFrame:
     """Row per column: n, nulls, distinct, and for numbers min/max/mean/stddev/skewness/kurtosis.
 
+    The mean is an exact decimal sum (10 places) divided once, so it does not
+    depend on the order of rows; values too large for that use the double sum.
+
     ``exact_distinct=False`` uses ``approx_count_distinct`` (HLL, bounded memory)
     instead of the long-form exact count.
     """
@@ -116,6 +125,8 @@ def column_stats(df: DataFrame, cols: list[str] | None = None,
         for stat, fn in (("min", F.min), ("max", F.max), ("mean", F.avg), ("stddev", F.stddev),
                          ("skewness", F.skewness), ("kurtosis", F.kurtosis)):
             s.append((stat, fn(x) if x is not None else F.lit(None).cast("double"), "double"))
+        if x is not None:
+            s[[k for k, _, _ in s].index("mean")] = ("mean", F.coalesce(exact_mean(x), F.avg(x)), "double")
         specs[c] = s
     stats = _one_row_unpivot(df, specs)
     if exact_distinct:
@@ -252,11 +263,9 @@ def category_shares(df: DataFrame, col: str) -> DataFrame:
 
 def entropy(df: DataFrame, cols: list[str]) -> DataFrame:
     """Shannon entropy (bits) and category count per column, from the long-form counts."""
-    vc = value_counts(df, cols)
-    w = Window.partitionBy("column")
-    p = F.col("cnt") / F.sum("cnt").over(w)
-    return (vc.withColumn("p", p).groupBy("column")
-            .agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"),
+    c = F.col("cnt").cast("double")  # log2 N - (sum of c log2 c) / N: one aggregate, no totals needed first
+    return (value_counts(df, cols).groupBy("column")
+            .agg((F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c)).alias("entropy"),
                  F.count(F.lit(1)).alias("categories")))
 
 
@@ -396,19 +405,16 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
     return cum.select("x", (F.col("cum") - (F.col("cnt") - 1) / 2.0).alias("rank"))
 
 
-def rank_correlations(df: DataFrame, cols: list[str], key: str,
-                      broadcast_limit_rows: int = 2_000_000) -> DataFrame:
-    """Spearman rho for every pair: Pearson of average ranks (rows with nulls skipped pairwise).
+def rank_correlations(df: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """Spearman rho for every pair: Pearson of average ranks over the rows that have all of ``cols``.
 
-    Ranks of each column are joined back on the value; the rank table is
-    broadcast only when its distinct count is under ``broadcast_limit_rows``
-    (checked), otherwise the join is a shuffle join (AQE splits hot values).
+    Ranks of each column are joined back on the value; AQE decides by size
+    whether a rank table is broadcast, and splits hot values otherwise.
     """
+    df = df.dropna(subset=cols)
     ranked = df.select(key, *[_as_double(df, c).alias(c) for c in cols])
     for c in cols:
         r = average_ranks(df, c).withColumnRenamed("x", c).withColumnRenamed("rank", "_rk_" + c)
-        n_distinct = r.count()
-        r = F.broadcast(r) if n_distinct <= broadcast_limit_rows else r
         ranked = ranked.join(r, c, "left")
     ranked = ranked.select(key, *[F.col("_rk_" + c).alias(c) for c in cols])
     return correlations(ranked, cols)

@@ -88,9 +88,23 @@ def reject_resample(spark: SparkSession, spec: dict, n: int, rules: list[dict],
     return out, report
 
 
-def edge_cases(spark: SparkSession, spec: dict, where: str, n: int, **kw) -> tuple[DataFrame, dict]:
-    """Rows meeting ``where`` (e.g. ``hba1c > 12 AND size(comorbidities) >= 3``), by rejection."""
-    return reject_resample(spark, spec, n, [{"name": "edge", "expr": where}], **kw)
+def edge_cases(spark: SparkSession, spec: dict, where: str, n: int, source: DataFrame | None = None, key: str | None = None,
+               **kw) -> tuple[DataFrame, dict]:
+    """Rows meeting ``where`` (e.g. ``hba1c > 12 AND size(comorbidities) >= 3``), by rejection.
+
+    With a ``source`` (and its unique ``key``), what rejection leaves short is
+    resampled from the source rows that meet ``where``.
+    """
+    rows, report = reject_resample(spark, spec, n, [{"name": "edge", "expr": where}], **kw)
+    if report["shortfall"] and source is not None:
+        names = [c["name"] for c in spec["columns"]]
+        extra = conditional_bootstrap(source, where, report["shortfall"], key, int(spec.get("seed", 0)))
+        top = rows.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
+        extra = extra.select((top + 1 + F.col("syn_id")).alias("id"), *names)
+        found = extra.count()
+        rows = rows.unionByName(extra)
+        report = {**report, "generated": report["generated"] + found, "resampled": found, "shortfall": report["shortfall"] - found}
+    return rows, report
 
 
 def conditional_bootstrap(df: DataFrame, where: str, n: int, key: str, seed: int = 0) -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthkit.functions.random import normal, normal_cdf, uniform, uuid_text
-from synthkit.operators.ordering import with_position
+from synthkit.operators.ordering import with_position, with_running_sums
 
 ID = "id"
-CASE_CHAIN_MAX = 64  # above this many categories use the bucketed range join
+CASE_CHAIN_MAX = 64  # above this many categories a when-chain gives way to a binary search
 
 
 def _lit(x) -> Column:
@@ -76,40 +76,50 @@ def _cum_bounds(shares: list[tuple[str, float]]) -> list[tuple[str, float, float
 def gen_category(u: Column, shares: list[tuple[str, float]]) -> Column:
     """Category with probability ``share``; ``shares`` in a fixed order (e.g. by count desc).
 
-    A ``when`` chain for up to ``CASE_CHAIN_MAX`` categories; more categories
-    use :func:`category_table` + :func:`join_categories` (bucketed equi-join).
+    A ``when`` chain for few categories; for more, a binary search in the
+    sorted upper bounds (an array literal: the spec holds the categories).
+    Categories that are data rather than parameters go through
+    :func:`category_intervals` + :func:`join_categories`.
     """
-    if len(shares) > CASE_CHAIN_MAX:
-        raise ValueError("too many categories for a when-chain; use join_categories")
     bounds = _cum_bounds(shares)
+    if len(shares) > CASE_CHAIN_MAX:
+        uppers, values = F.array(*[_lit(hi) for _, _, hi in bounds[:-1]]), F.array(*[F.lit(v) for v, _, _ in bounds])
+        state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds) - 1).alias("hi"))
+
+        def halve(s, _):
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            open_, below = s["lo"] < s["hi"], u < F.get(uppers, mid)
+            return F.struct(F.when(open_ & ~below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                            F.when(open_ & below, mid).otherwise(s["hi"]).alias("hi"))
+        steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+        return F.get(values, F.aggregate(steps, state, halve, lambda s: s["lo"]))
     expr = F.lit(bounds[-1][0])
     for v, _lo, hi in reversed(bounds[:-1]):
         expr = F.when(u < _lit(hi), F.lit(v)).otherwise(expr)
     return expr
 
 
-def category_table(spark: SparkSession, shares: list[tuple[str, float]], buckets: int | None = None) -> DataFrame:
-    """(bucket, lo, hi, value): each category interval listed in every bucket it overlaps."""
-    bounds = _cum_bounds(shares)
-    b = buckets or max(16, 4 * len(bounds))
-    rows = []
-    for v, lo, hi in bounds:
-        for k in range(int(math.floor(lo * b)), min(b - 1, int(math.floor(hi * b))) + 1):
-            rows.append((k, lo, hi, v))
-    return spark.createDataFrame(rows, "bucket int, lo double, hi double, value string"), b
+def category_intervals(counts: DataFrame, value: str, count: str) -> DataFrame:
+    """(value, lo, hi) from a count table, largest count first: positions and running sums are distributed."""
+    ordered = with_position(counts.select(F.col(value).alias("value"), F.col(count).alias("c")), [F.desc("c"), F.col("value")], "pos")
+    cum = with_running_sums(ordered, "pos", {"upto": F.col("c")}, total_prefix="n_")
+    last = F.col("upto") == F.col("n_upto")
+    return cum.select("value", ((F.col("upto") - F.col("c")) / F.col("n_upto")).alias("lo"),
+                      F.when(last, 1.0).otherwise(F.col("upto") / F.col("n_upto")).alias("hi"))
 
 
-def join_categories(df: DataFrame, u: Column, shares: list[tuple[str, float]], out: str) -> DataFrame:
+def join_categories(df: DataFrame, u: Column, intervals: DataFrame, out: str, buckets: int) -> DataFrame:
     """Range join u ∈ [lo, hi) as an equi-join on floor(u·B) plus a filter.
 
-    The table has one row per (category, overlapped bucket) — its size is set
-    by the category count in the spec, so broadcasting it is bounded.
+    Each interval is listed in every bucket it overlaps (B plus one row per
+    category in all).  Draws are spread evenly over the buckets, so no key is hot.
     """
-    tbl, b = category_table(df.sparkSession, shares)
-    probe = df.withColumn("_sk_u", u).withColumn("_sk_b", F.floor(F.col("_sk_u") * b).cast("int"))
-    j = probe.join(F.broadcast(tbl), (F.col("_sk_b") == F.col("bucket")) & (F.col("_sk_u") >= F.col("lo"))
-                   & (F.col("_sk_u") < F.col("hi")))
-    return j.withColumnRenamed("value", out).drop("_sk_u", "_sk_b", "bucket", "lo", "hi")
+    b = F.lit(buckets)
+    listed = intervals.select("value", "lo", "hi", F.explode(F.sequence(
+        F.floor(F.col("lo") * b), F.least(b - 1, F.floor(F.col("hi") * b)))).alias("_sk_b"))
+    probe = df.withColumn("_sk_u", u).withColumn("_sk_b", F.floor(F.col("_sk_u") * b))
+    j = probe.join(listed, "_sk_b").where((F.col("_sk_u") >= F.col("lo")) & (F.col("_sk_u") < F.col("hi")))
+    return j.withColumnRenamed("value", out).drop("_sk_u", "_sk_b", "lo", "hi")
 
 
 def gen_multilabel(seed: int, name: str, shares: list[tuple[str, float]], mode: str = "md5",
@@ -243,23 +253,20 @@ def synthesize(spark: SparkSession, spec: dict, rows: int | None = None, start:
     return base.select(F.col("id"), *[column_expr(c, seed, mode, zs.get(c["name"])) for c in cols])
 
 
-def bootstrap(df: DataFrame, n: int, key: str, seed: int = 0, mode: str = "md5",
-              broadcast_rows: int = 1_000_000) -> DataFrame:
+def bootstrap(df: DataFrame, n: int, key: str, seed: int = 0, mode: str = "md5") -> DataFrame:
     """``n`` rows drawn with replacement from ``df`` (grounded synthesis).
 
-    Source rows get a dense position in ``key`` order (distributed, see
-    :func:`with_position`); synthetic row i takes position ``floor(u_i·N)``.
-    The source side is broadcast only when N ≤ ``broadcast_rows`` (checked);
-    otherwise it is a shuffle join on the position, which is unique.
+    Only the keys (unique) are sorted and numbered (distributed, see
+    :func:`with_position`); synthetic row i takes position ``floor(u_i·N)`` and
+    then joins the source row of that key.
     """
-    src = with_position(df, [F.col(key)], "_sk_pos", start=0)
+    src = with_position(df.select(key), [F.col(key)], "_sk_pos", start=0)
     big_n = src.count()
     spark = df.sparkSession
     syn = spark.range(n).select(F.col("id").alias("syn_id"),
                                 F.floor(uniform(seed, "bootstrap", F.col("id"), mode) * F.lit(big_n))
                                 .cast("bigint").alias("_sk_pos"))
-    right = F.broadcast(src) if big_n <= broadcast_rows else src
-    return syn.join(right, "_sk_pos").drop("_sk_pos")
+    return syn.join(src, "_sk_pos").drop("_sk_pos").join(df, key)
 
 
 def smooth_bootstrap(df: DataFrame, n: int, key: str, cols: list[str], bandwidth: float = 0.1,

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from synthkit.operators.ordering import with_running_sums
 from synthkit.operators.profile import _as_double, correlations, quantiles
+from synthkit.session import scratch_dir
 
 # Status thresholds, verdict and insight templates shown by the product.
 PASS_AT, WARN_AT = 85.0, 70.0  # 85 falls in the mock's (83, 87] gap; 70 is ours
+SAFETY_LABEL = "Safety / PII"
 VERDICT_PASS = "Ready for fine-tuning"
 VERDICT_WARN = "Usable with caveats"  # ours
 VERDICT_FAIL = "Not ready"  # ours
@@ -103,9 +105,8 @@ def _shares_pair(src: DataFrame, syn: DataFrame, col: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("c" + tag))
         return c
     j = shares(src, "a").join(shares(syn, "b"), "value", "full").fillna(0, ["ca", "cb"])
-    w = Window.partitionBy()  # over the share table: one row per category
-    return j.select("value", "ca", "cb", (F.col("ca") / F.sum("ca").over(w)).alias("p"),
-                    (F.col("cb") / F.sum("cb").over(w)).alias("q"))
+    na, nb = j.agg(F.sum("ca")).scalar(), j.agg(F.sum("cb")).scalar()
+    return j.select("value", "ca", "cb", (F.col("ca") / na).alias("p"), (F.col("cb") / nb).alias("q"))
 
 
 def tvd(src: DataFrame, syn: DataFrame, col: str) -> DataFrame:
@@ -123,8 +124,7 @@ def js_divergence(src: DataFrame, syn: DataFrame, col: str) -> DataFrame:
 def chi_square(src: DataFrame, syn: DataFrame, col: str) -> DataFrame:
     """Two-sample chi-square on the 2×k table of counts → (column, chi2, dof)."""
     s = _shares_pair(src, syn, col)
-    w = Window.partitionBy()
-    na, nb = F.sum("ca").over(w), F.sum("cb").over(w)
+    na, nb = s.agg(F.sum("ca")).scalar(), s.agg(F.sum("cb")).scalar()
     pooled = (F.col("ca") + F.col("cb")) / (na + nb)
     t = s.select("ca", "cb", (pooled * na).alias("ea"), (pooled * nb).alias("eb"))
     return t.agg(F.lit(col).alias("column"),
@@ -205,6 +205,18 @@ def tail_many(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
     return j.select("column", ratio.alias("tail_ratio"), F.when(ratio < 0.9, F.lit(TAIL_NOTE)).alias("note"))
 
 
+def text_fidelity(src: DataFrame, syn: DataFrame, col: str) -> DataFrame:
+    """Free text or nested values: 100·(1 − ½(|Δ distinct share| + |Δ mean length| / larger mean length))."""
+    def parts(df, tag):
+        v = F.col(col).cast("string")
+        return df.agg((F.count_distinct(F.xxhash64(v)) / F.greatest(F.count(v), F.lit(1))).alias("d" + tag),
+                      F.coalesce(F.avg(F.char_length(v)), F.lit(0.0)).alias("l" + tag))
+    j = parts(src, "a").crossJoin(parts(syn, "b"))  # one row each
+    length = F.abs(F.col("la") - F.col("lb")) / F.greatest("la", "lb", F.lit(1e-9))
+    return j.select(F.lit(col).alias("column"), (100 * (1 - 0.5 * (F.abs(F.col("da") - F.col("db")) + length))).alias("score"),
+                    F.lit(None).cast("string").alias("note"))
+
+
 def column_fidelity(src: DataFrame, syn: DataFrame, types: dict[str, str]) -> DataFrame:
     """Per column (column, fidelity, status, note): by type 100·(1−KS), 100·(1−TVD), label
     fidelity, or uniqueness; times (1 − Δnull).  Numeric notes come from the tail ratio."""
@@ -231,9 +243,11 @@ def column_fidelity(src: DataFrame, syn: DataFrame, types: dict[str, str]) -> Da
         elif t == "uuid":
             f = uniqueness(syn, c).select("column", (100 * F.col("uniqueness")).alias("score"),
                                           F.lit(None).cast("string").alias("note"))
-        else:
-            continue
+        else:  # text and nested values: distances of the distinct share and of the lengths
+            f = text_fidelity(src, syn, c)
         parts.append(f)
+    if not parts:
+        raise ValueError("column_fidelity needs at least one column")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -297,39 +311,51 @@ def _shingles(words: Column, k: int) -> Column:
     return F.array_distinct(grams)
 
 
-def _minhash(i: int):
-    return lambda s: F.xxhash64(F.lit(i), s)  # one-argument lambda: s is the element
-
-
-def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, hashes: int = 16, bands: int = 4,
-                    threshold: float = 0.8, rounds: int = 3) -> DataFrame:
-    """Near-copy groups by MinHash banding, without emitting pairs inside a bucket.
+def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Near-copies by exact Jaccard similarity of word k-gram sets → (key, rep, near_dup).
 
-    Each band bucket links its members to the bucket's smallest key (a star,
-    linear in the bucket size); a few rounds of min-label propagation give
-    every row a representative.  Exact Jaccard of each row against its
-    representative decides the flag.  Returns (key, rep, jaccard, near_dup).
-    Shingle sets and labels are checkpointed once so no stage recomputes them.
+    ``near_dup``: some row of a smaller key is within the threshold.  ``rep``:
+    the smallest key that the row reaches over such links.  Texts of equal sets
+    are one class first, so copies never meet as pairs.  Candidates come from
+    prefix filtering: with the grams of each set in one order, rarest first, two
+    sets within the threshold share one of their first ``n - ceil(t·n) + 1``
+    grams, so no link is missed, while lines that many texts hold come last and
+    key nothing.  Candidates are verified, then labels spread until nothing changes.
     """
-    rows = hashes // bands
+    scratch_dir(df.sparkSession)  # makes sure a checkpoint dir is set
     words = df.select(F.col(key).alias("k"), words_of(F.col(text)).alias("w"))
-    sh = words.select("k", _shingles(F.col("w"), k).alias("sh")).checkpoint()
-    # shingles are already 64-bit hashes; the MinHash functions re-hash them (cheap)
-    sig = sh.select("k", F.array(*[F.array_min(F.transform("sh", _minhash(i))) for i in range(hashes)]).alias("mh"))
-    band = sig.select("k", F.posexplode(F.array(*[
-        F.xxhash64(*[F.col("mh")[b * rows + j] for j in range(rows)]) for b in range(bands)])).alias("band", "h"))
-    # star edges: every member → min key of its bucket (groupBy min has a partial aggregate)
-    mn = band.groupBy("band", "h").agg(F.min("k").alias("m"))  # partial aggregate: hot buckets collapse
-    label = band.join(mn, ["band", "h"]).groupBy("k").agg(F.min("m").alias("rep")).checkpoint()
-    for _ in range(rounds - 1):  # propagate: rep of my rep
-        nxt = label.select(F.col("k").alias("rep"), F.col("rep").alias("rep2"))
-        label = (label.join(nxt, "rep", "left")
-                 .select("k", F.least("rep", F.coalesce("rep2", "rep")).alias("rep")).checkpoint())
-    rep_sh = sh.select(F.col("k").alias("rep"), F.col("sh").alias("rsh"))
-    j = label.join(sh, "k").join(rep_sh, "rep")
-    jac = F.size(F.array_intersect("sh", "rsh")) / F.greatest(F.size(F.array_union("sh", "rsh")), F.lit(1))
-    return j.select(F.col("k").alias(key), "rep", jac.alias("jaccard"),
-                    ((F.col("k") != F.col("rep")) & (jac >= threshold)).alias("near_dup"))
+    rows = words.select("k", F.array_sort(_shingles(F.col("w"), k)).alias("sh"))
+    rows = rows.withColumn("h", F.xxhash64("sh", F.size("sh"))).checkpoint()
+    cls = rows.groupBy("h", "sh").agg(F.min("k").alias("c")).select("c", "h", "sh").checkpoint()
+    grams = cls.select("c", F.explode("sh").alias("g"))
+    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    ordered = grams.join(freq, "g").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
+    n = F.size("o")
+    first = F.slice("o", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+    pre = ordered.select("c", n.alias("n"), F.explode(F.filter(first, lambda x: x["f"] > 1)).alias("x")).select("c", "n", "x.g")
+    left, right = pre.select("g", F.col("c").alias("a"), F.col("n").alias("na")), pre.select("g", F.col("c").alias("b"), F.col("n").alias("nb"))
+    close = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
+    cand = left.join(right, "g").where(close).select("a", "b").distinct()
+    sets = cls.select("c", "sh")
+    both = (cand.join(sets.select(F.col("c").alias("a"), F.col("sh").alias("sa")), "a")
+            .join(sets.select(F.col("c").alias("b"), F.col("sh").alias("sb")), "b"))
+    inter = F.size(F.array_intersect("sa", "sb"))
+    links = both.where(inter >= F.lit(threshold) * (F.size("sa") + F.size("sb") - inter) - 1e-9).select("a", "b").checkpoint()
+    edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = cls.select("c", F.col("c").alias("rep")).checkpoint()
+    while True:  # each round: the smallest label of the neighbours, then the label's own label
+        seen = edges.join(label, F.col("b") == F.col("c")).groupBy("a").agg(F.min("rep").alias("m"))
+        low = label.join(seen, F.col("c") == F.col("a"), "left").select("c", F.least("rep", "m").alias("rep"))
+        up = label.select(F.col("c").alias("rep"), F.col("rep").alias("up"))
+        new = low.join(up, "rep").select("c", F.least("rep", "up").alias("rep")).checkpoint()
+        changed = new.join(label.withColumnRenamed("rep", "old"), "c").where("rep < old").limit(1).count()
+        label = new
+        if not changed:
+            break
+    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    named = cls.select("c", "h", "sh").join(label, "c").join(least, F.col("c") == F.col("a"), "left").select("h", "sh", "c", "rep", "least")
+    return rows.join(named, ["h", "sh"]).select(
+        F.col("k").alias(key), "rep", ((F.col("c") < F.col("k")) | F.coalesce(F.col("least") < F.col("k"), F.lit(False))).alias("near_dup"))
 
 
 def missing_categories(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
@@ -420,35 +446,36 @@ def source_leak(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
     return b.join(a, cond, "left_semi").drop("_sk_h")
 
 
-def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str, cell: float = 0.5,
-                   max_rounds: int = 12) -> DataFrame:
-    """Exact distance from each synthetic row to its closest source row (standardised, low dimension).
+def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str) -> DataFrame:
+    """Exact distance from each synthetic row to its closest source row (standardised columns).
 
-    Grid cells of side ``cell`` (in σ units): each synthetic row probes its own
-    and the neighbouring cells by equi-join.  A hit at distance ≤ cell is exact
-    (nothing outside the 3^d block can be nearer).  Rows without such a hit
-    retry with the cell doubled, until every row is resolved — no candidate
-    cap, so the answer is exact.  For d ≤ 4.
+    Grid cells over the first columns (three at most): each synthetic row
+    probes its own and the neighbouring cells by equi-join.  A hit at distance
+    ≤ cell is exact: whatever is nearer differs by less than a cell in each of
+    these columns too.  The first cell side follows the number of source rows
+    (about n^(-1/d)), so a cell holds about as many rows at every size; rows
+    without such a hit retry with the cell doubled until all are resolved.
+    Without source rows the result is empty.
     """
-    if len(cols) > 4:
-        raise ValueError("grid search is for up to 4 columns; use nearest_vector for embeddings")
-    st = src.agg(*[F.avg(c).alias("m_" + c) for c in cols] + [F.stddev(c).alias("s_" + c) for c in cols]).first()
+    st = src.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias("m_" + c) for c in cols] + [F.stddev(c).alias("s_" + c) for c in cols]).first()
     z = lambda df: [((F.col(c) - st["m_" + c]) / (st["s_" + c] or 1.0)).alias(c) for c in cols]
     s = src.select(*z(src)).dropna().dropDuplicates()
     q = syn.select(syn_key, *z(syn)).dropna()
     import itertools
+    scratch_dir(src.sparkSession)  # makes sure a checkpoint dir is set
     resolved = None
-    pending = q
-    h = cell
-    for _ in range(max_rounds):
-        cell_of = lambda df: [F.floor(F.col(c) / h).cast("bigint").alias("g_" + c) for c in cols]
+    pending = q if st["_n"] else q.limit(0)
+    grid = cols[:3]
+    h = 4.0 * max(st["_n"], 1) ** (-1 / len(grid))
+    while True:
+        cell_of = lambda df: [F.floor(F.col(c) / h).cast("bigint").alias("g_" + c) for c in grid]
         sc = s.select(*[F.col(c).alias("s_" + c) for c in cols], *cell_of(s))
-        offs = list(itertools.product((-1, 0, 1), repeat=len(cols)))
+        offs = list(itertools.product((-1, 0, 1), repeat=len(grid)))
         probe = pending.select(syn_key, *cols, *cell_of(pending)).withColumn(
             "_o", F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offs])))
         probe = probe.select(syn_key, *cols, *[(F.col("g_" + c) + F.col("_o")[i]).alias("g_" + c)
-                                               for i, c in enumerate(cols)])
-        j = probe.join(sc, ["g_" + c for c in cols])
+                                               for i, c in enumerate(grid)])
+        j = probe.join(sc, ["g_" + c for c in grid])
         d = F.sqrt(sum(((F.col(c) - F.col("s_" + c)) ** 2 for c in cols), F.lit(0.0)))
         best = j.groupBy(syn_key).agg(F.min(d).alias("distance"))
         ok = best.filter(F.col("distance") <= h)
@@ -458,4 +485,3 @@ def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str
         if pending.limit(1).count() == 0:
             return resolved
         h *= 2
-    raise RuntimeError("nearest_source: rows left unresolved; raise max_rounds")

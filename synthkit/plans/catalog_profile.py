@@ -23,7 +23,7 @@ def _stats_sql(tbl: str, cols) -> str:
         num = kind in ("int", "num")
         x = f"CAST({c} AS DOUBLE)"
         if num:
-            moments = (f"round(min({x}), 6) AS min, round(max({x}), 6) AS max, round(avg({x}), 6) AS mean, "
+            moments = (f"round(min({x}), 6) AS min, round(max({x}), 6) AS max, round(CAST(sum(CAST({c} AS DECIMAL(28, 10))) AS DOUBLE) / count({c}), 6) AS mean, "
                        f"round(stddev_samp({x}), 6) AS stddev, "
                        f"round(avg(power({x} - mu, 3)) / power(avg(power({x} - mu, 2)), 1.5), 6) AS skewness, "
                        f"round(avg(power({x} - mu, 4)) / power(avg(power({x} - mu, 2)), 2) - 3, 6) AS kurtosis")
@@ -227,7 +227,7 @@ JOIN (SELECT o_custkey, unnest(priorities) AS l FROM {_LABELS_SQL}) b ON a.o_cus
 GROUP BY a.l, b.l""")
 def q_label_pairs(spark, sf):
     labels = _priority_labels(spark, sf)
-    voc = [r[0] for r in profile.label_vocabulary(labels, "priorities").limit(51).collect()]
+    voc = [r[0] for r in profile.label_vocabulary(labels, "priorities").collect()]
     if len(voc) > 50:
         raise ValueError("label vocabulary larger than enum_max; not a multi-label column")
     return profile.label_pairs(labels, "priorities", voc).filter(F.col("rows") > 0)

@@ -1,7 +1,7 @@
 """Registered queries: constraints (C1-C6) and validation (V1-V27).
 
-Source/synthetic pairs come from the driver tables: lineitem return flag A
-against R (near identical), events ``value`` against ``0.8·value`` (tail
+Source/synthetic pairs come from whole driver tables: lineitem against a
+shifted copy of all its rows, events ``value`` against ``0.8·value`` (tail
 compression), events against events without one event type.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from synthkit.operators import rules, validate
+from synthkit.operators import report, rules, validate
 from synthkit.operators.synth import synthesize, with_nulls
 from synthkit.functions.random import uniform
 from synthkit.plans.registry import normal_sql, register, rounded, table, u_sql
@@ -20,7 +20,12 @@ LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def _ar(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.filter(F.col("l_returnflag") == "A"), li.filter(F.col("l_returnflag") == "R")
+    syn = (li.withColumn("l_extendedprice", F.col("l_extendedprice") * 0.875)
+           .withColumn("l_quantity", F.greatest(F.col("l_quantity"), F.lit(4.0)))
+           .withColumn("l_discount", F.least(F.col("l_discount"), F.lit(0.07)))
+           .withColumn("l_tax", F.when(F.col("l_linenumber") == 1, 0.0).otherwise(F.col("l_tax")))
+           .withColumn("l_linestatus", F.when(F.col("l_linenumber") == 2, "O").otherwise(F.col("l_linestatus"))))
+    return li, syn
 
 
 def _ev(spark, sf):
@@ -28,8 +33,10 @@ def _ev(spark, sf):
     return ev, ev.withColumn("value", F.col("value") * 0.8)
 
 
-A = "(SELECT * FROM lineitem WHERE l_returnflag = 'A')"
-R = "(SELECT * FROM lineitem WHERE l_returnflag = 'R')"
+A = "lineitem"
+R = """(SELECT * REPLACE (l_extendedprice * 0.875 AS l_extendedprice, greatest(l_quantity, 4.0::DOUBLE) AS l_quantity,
+  least(l_discount, 0.07::DOUBLE) AS l_discount, CASE WHEN l_linenumber = 1 THEN 0.0::DOUBLE ELSE l_tax END AS l_tax,
+  CASE WHEN l_linenumber = 2 THEN 'O' ELSE l_linestatus END AS l_linestatus) FROM lineitem)"""
 EV = "events"
 EV8 = "(SELECT * REPLACE (value * 0.8 AS value) FROM events)"
 
@@ -110,13 +117,15 @@ def q_chi(spark, sf):
 
 
 def _prio(spark, sf, status):
-    o = table(spark, sf, "orders").filter(F.col("o_orderstatus") == status)
-    return o.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("priorities"))
+    """Priorities by customer; for ``O`` with all urgent orders taken as high ones."""
+    o, p = table(spark, sf, "orders"), F.col("o_orderpriority")
+    p = F.when(p == "1-URGENT", "2-HIGH").otherwise(p) if status == "O" else p
+    return o.groupBy("o_custkey").agg(F.collect_set(p).alias("priorities"))
 
 
 def _prio_sql(status):
-    return (f"(SELECT o_custkey, list(DISTINCT o_orderpriority) AS priorities FROM orders "
-            f"WHERE o_orderstatus = '{status}' GROUP BY o_custkey)")
+    p = "CASE WHEN o_orderpriority = '1-URGENT' THEN '2-HIGH' ELSE o_orderpriority END" if status == "O" else "o_orderpriority"
+    return f"(SELECT o_custkey, list(DISTINCT {p}) AS priorities FROM orders GROUP BY o_custkey)"
 
 
 @register("label_fidelity", f"""
@@ -251,9 +260,21 @@ def q_duplicates(spark, sf):
     return d.select(F.md5("text").alias("text_md5"), "copies")
 
 
-@register("near_duplicates")
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE k >= 0.8::DOUBLE * (ca.n + cb.n - k) - 1e-9),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS rep, EXISTS (SELECT 1 FROM l WHERE l.b = d.doc_id) AS near_dup
+FROM documents d"""
+
+
+@register("near_duplicates", _NEAR_SQL)
 def q_near_duplicates(spark, sf):
-    return rounded(validate.near_duplicates(table(spark, sf, "documents"), "doc_id", "text"))
+    return validate.near_duplicates(table(spark, sf, "documents"), "doc_id", "text")
 
 
 _EV_NO_ERR = "(SELECT * FROM events WHERE event_type <> 'error')"
@@ -331,6 +352,75 @@ def q_status_of(spark, sf):
     return rounded(s.withColumn("status", validate.status_of("score")))
 
 
+# ------------------------------------------------------------------ report
+
+_CONFORM = [{"name": "l_quantity", "type": "int"}, {"name": "l_tax", "type": "float"}, {"name": "l_shipdate", "type": "date"},
+            {"name": "l_linestatus", "type": "enum", "dist": {"shares": [{"value": "O"}, {"value": "F"}]}},
+            {"name": "l_returnflag", "type": "enum", "dist": {"shares": [{"value": "A"}, {"value": "N"}]}},
+            {"name": "l_comment", "type": "text"}]
+_CONFORM_BAD = {"l_quantity": "coalesce(l_quantity <> floor(l_quantity), true)", "l_tax": "l_tax IS NULL",
+                "l_shipdate": "l_shipdate IS NULL", "l_linestatus": "coalesce(l_linestatus NOT IN ('O', 'F'), true)",
+                "l_returnflag": "coalesce(l_returnflag NOT IN ('A', 'N'), true)", "l_comment": "true"}
+
+
+@register("conformity", "\nUNION ALL\n".join(
+    f"SELECT '{c['name']}' AS column, '{c['type']}' AS type, count(*) AS rows, count(*) FILTER (WHERE {_CONFORM_BAD[c['name']]}) AS failures, "
+    f"count(*) FILTER (WHERE {_CONFORM_BAD[c['name']]}) = 0 AS ok FROM lineitem" for c in _CONFORM))
+def q_conformity(spark, sf):
+    return report.conformity(table(spark, sf, "lineitem"), _CONFORM)
+
+
+_REPORT_TYPES = {"l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_linestatus": "enum", "l_shipdate": "date"}
+_PII_HIT = (f"greatest(" + ", ".join(f"(SELECT count(*) FROM lineitem WHERE regexp_matches(l_linestatus, '{p}'))" for p in validate.PII_PATTERNS.values()) + ")")
+_REALISM = f"""(0.5 * (SELECT avg(fidelity) FROM ({_fidelity_rows_sql()})) + 0.5 * (100 - 100 * {{drift}}))"""
+_DRIFT3 = "(SELECT max(abs(x - y)) FROM (" + " UNION ALL ".join(
+    f"SELECT x, y FROM (SELECT corr({a}, {b}) AS x FROM {A}), (SELECT corr({a}, {b}) AS y FROM {R})" for a, b in _pairs(LI_NUM[:3])) + "))"
+_METRICS = f"""
+SELECT 'Realism' AS label, {_REALISM.format(drift=_DRIFT3)} AS score
+UNION ALL SELECT 'Diversity', 100 * ((SELECT count(*) FROM (SELECT DISTINCT * FROM {R})) / (SELECT count(*) FROM {R}) + {_div_parts_sql('l_linestatus')}) / 3
+UNION ALL SELECT 'Safety / PII', 100.0 * (1 - {_PII_HIT} / (SELECT count(*) FROM {R}))"""
+_VERDICT = f"""SELECT CASE status WHEN 'fail' THEN 'Not ready' WHEN 'warn' THEN 'Usable with caveats' ELSE 'Ready for fine-tuning' END AS verdict, status
+FROM (SELECT CASE WHEN min(score) < 70 THEN 'fail' WHEN min(score) < 85 THEN 'warn' ELSE 'pass' END AS status FROM ({_METRICS}))"""
+_INSIGHTS = f"""
+SELECT 1 AS position, "column" || ' shows mild tail compression — consider increasing variance in generation params' AS insight
+FROM ({_fidelity_rows_sql()}) WHERE note IS NOT NULL
+UNION ALL SELECT 2, CASE WHEN hit = 0 THEN 'No PII detected across all ' || format('{{:,}}', (SELECT count(*) FROM lineitem)) || ' rows'
+  ELSE 'PII found in ' || format('{{:,}}', hit) || ' rows' END FROM (SELECT {_PII_HIT} AS hit)
+UNION ALL SELECT 3, 'Inter-column correlations preserved within ' || CAST(CAST(ceil(100 * d - 1e-9) AS BIGINT) AS VARCHAR) || '% of source statistics' FROM (SELECT {_DRIFT3} AS d)"""
+_EDGE_REPORT = {"deep discount": ("l_discount >= 0.07", 20000)}
+
+
+def _report(spark, sf):
+    src, syn = _ar(spark, sf)
+    return report.validate(src, syn, _REPORT_TYPES, ["l_linestatus"], _EDGE_REPORT)
+
+
+@register("report_metrics", f"SELECT label, round(score, 6) AS score, {_status_sql('score')} AS status FROM ({_METRICS})")
+def q_report_metrics(spark, sf):
+    return rounded(_report(spark, sf)["metrics"])
+
+
+@register("verdict", _VERDICT)
+def q_verdict(spark, sf):
+    return _report(spark, sf)["verdict"]
+
+
+@register("insights", _INSIGHTS)
+def q_insights(spark, sf):
+    return _report(spark, sf)["insights"]
+
+
+@register("validation_report", f"""
+SELECT 'verdict' AS section, verdict AS name, CAST(NULL AS DOUBLE) AS score, status, CAST(NULL AS VARCHAR) AS text FROM ({_VERDICT})
+UNION ALL SELECT 'metric', label, round(score, 6), {_status_sql('score')}, NULL FROM ({_METRICS})
+UNION ALL SELECT 'column', "column", round(fidelity, 6), {_status_sql('fidelity')}, note FROM ({_fidelity_rows_sql()})
+UNION ALL SELECT 'insight', NULL, NULL, NULL, insight FROM ({_INSIGHTS})
+UNION ALL SELECT 'edge case', 'deep discount', round(100.0 * n / 20000, 1), NULL, CAST(n AS VARCHAR) || ' of 20000'
+  FROM (SELECT count(*) AS n FROM {R} WHERE l_discount >= 0.07)""")
+def q_validation_report(spark, sf):
+    return rounded(report.long_form(_report(spark, sf)))
+
+
 # ------------------------------------------------------------------ constraints
 
 LI_RULES = [{"name": "qty_range", "expr": "l_quantity BETWEEN 1 AND 45"},

@@ -43,8 +43,12 @@ COHORT_SPEC = {
 
 
 def infer_spec(df: DataFrame, rows: int | None = None, seed: int = 0, mode: str = "md5",
-               enum_max: int = 50, with_corr: bool = False, key: str | None = None) -> dict:
-    """Profile ``df`` and turn the per-column fits into a spec (one small collect)."""
+               enum_max: int = 50, with_corr: bool = False, key: str | None = None, drop: tuple[str, ...] = ()) -> dict:
+    """Profile ``df`` and turn the per-column fits into a spec (one small collect).
+
+    Text and nested columns cannot be generated: they must be listed under ``drop``.
+    """
+    df = df.drop(*drop)
     prof = profile_table(df, seed=seed, enum_max=enum_max)
     day_checks = [F.count_if(F.col(f.name) != F.date_trunc("day", F.col(f.name))).alias(f.name)
                   for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
@@ -54,7 +58,7 @@ def infer_spec(df: DataFrame, rows: int | None = None, seed: int = 0, mode: str
             aggs += [F.min(F.to_date(f.name)).cast("string").alias("_lo_" + f.name),
                      F.max(F.to_date(f.name)).cast("string").alias("_hi_" + f.name)]
     extra = df.agg(*aggs).first()
-    cols, skipped = [], []
+    cols = []
     for r in sorted(prof.collect(), key=lambda r: df.columns.index(r["column"])):
         name, typ, st = r["column"], r["type"], r["spark_type"]
         total = (r["n"] or 0) + (r["nulls"] or 0)
@@ -76,17 +80,14 @@ def infer_spec(df: DataFrame, rows: int | None = None, seed: int = 0, mode: str
                            "lo_date": extra["_lo_" + name], "hi_date": extra["_hi_" + name]}
         elif typ == "array<str>":
             shares, _ = fit_multilabel(df, name)
-            top = shares.orderBy(F.desc("rows"), "label").limit(enum_max + 1).collect()
-            if len(top) > enum_max:
-                skipped.append(name)
-                continue
+            top = shares.orderBy(F.desc("rows"), "label").collect()  # the label vocabulary is part of the spec
             col["dist"] = {"family": "multilabel", "shares": [{"value": s["label"], "share": s["share"]} for s in top]}
         else:  # free text / nested values: no generative model in the product
-            skipped.append(name)
-            continue
+            raise ValueError(f"column {name} holds {typ} values, which no spec can generate: list it under drop, "
+                             "or resample whole rows with bootstrap")
         cols.append(col)
     spec = {"rows": int(rows if rows is not None else extra["_rows"]), "seed": seed, "mode": mode,
-            "columns": cols, "skipped": skipped, "corr": [], "corr_kind": "spearman"}
+            "columns": cols, "skipped": list(drop), "corr": [], "corr_kind": "spearman"}
     if with_corr:
         num = [c["name"] for c in cols if c["type"] in ("int", "float") and c["dist"]["family"] != "sequence"]
         if len(num) >= 2 and key:
