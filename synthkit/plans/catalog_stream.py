@@ -26,10 +26,9 @@ def _tscol(c):
 @register("stream_profile", """
 SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS VARCHAR) AS window_end,
        event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max
-FROM events GROUP BY date_trunc('day', ts), event_type
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+FROM events GROUP BY date_trunc('day', ts), event_type""")
 def q_stream_profile(spark, sf):
-    out, _ = stream.run_to_table(stream.stream_profile(_events(spark, sf), "ts", "event_type", "value"), "profile")
+    out, _ = stream.run_to_table(stream.stream_profile(_events(spark, sf), "ts", "event_type", "value"), "profile", keys=["window_start", "event_type"])
     return rounded(out.select(_tscol("window_start").alias("window_start"), _tscol("window_end").alias("window_end"),
                               "event_type", "n", "mean", "min", "max"))
 
@@ -39,9 +38,9 @@ WITH w AS (SELECT date_trunc('day', ts) AS d, event_type, value FROM events
            UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY, event_type, value FROM events)
 SELECT CAST(d AS VARCHAR) AS window_start, CAST(d + INTERVAL 2 DAY AS VARCHAR) AS window_end, event_type, count(*) AS n,
        round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max
-FROM w GROUP BY d, event_type HAVING d + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+FROM w GROUP BY d, event_type""")
 def q_stream_sliding(spark, sf):
-    out, _ = stream.run_to_table(stream.stream_sliding(_events(spark, sf), "ts", "event_type", "value"), "sliding")
+    out, _ = stream.run_to_table(stream.stream_sliding(_events(spark, sf), "ts", "event_type", "value"), "sliding", keys=["window_start", "event_type"])
     return rounded(out.select(_tscol("window_start").alias("window_start"), _tscol("window_end").alias("window_end"),
                               "event_type", "n", "mean", "min", "max"))
 
@@ -60,10 +59,11 @@ def q_stream_sessions(spark, sf):
                       _tscol("session_end").alias("session_end"), "n")
 
 
-@register("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@register("stream_dedup", "SELECT DISTINCT event_id, user_id, event_type FROM events")
 def q_stream_dedup(spark, sf):
-    out, _ = stream.run_to_table(stream.stream_dedup(_events(spark, sf), ["user_id", "event_type"], "ts"), "dedup")
-    return out.select("user_id", "event_type")
+    """Deliveries are repeated by the transport: the event id is the key."""
+    out, _ = stream.run_to_table(stream.stream_dedup(_events(spark, sf), ["event_id"], "ts"), "dedup")
+    return out.select("event_id", "user_id", "event_type")
 
 
 _EDGES = ", ".join(str(i / 10) for i in range(1, 10))
@@ -73,10 +73,12 @@ _EDGES = ", ".join(str(i / 10) for i in range(1, 10))
 WITH e AS (SELECT quantile_cont(value * 0.8, [{_EDGES}]) AS edges FROM events),
 base AS (SELECT len(list_filter(edges, lambda q: q < value * 0.8)) AS bin, count(*) / sum(count(*)) OVER () AS p
          FROM events, e WHERE value IS NOT NULL GROUP BY 1),
-cur AS (SELECT len(list_filter(edges, lambda q: q < value)) AS bin, count(*) AS c FROM events, e WHERE value IS NOT NULL GROUP BY 1),
-j AS (SELECT greatest(coalesce(p, 0), 1e-4) AS p, greatest(coalesce(c, 0) / (SELECT sum(c) FROM cur), 1e-4) AS q,
-             coalesce(c, 0) AS c FROM (SELECT range AS bin FROM range(10)) LEFT JOIN base USING (bin) LEFT JOIN cur USING (bin))
-SELECT CAST(0 AS BIGINT) AS batch_id, round(sum((q - p) * ln(q / p)), 6) AS psi, CAST(sum(c) AS BIGINT) AS rows FROM j""")
+cur AS (SELECT time_bucket(INTERVAL 30 DAY, ts, TIMESTAMP '1970-01-01') AS w, len(list_filter(edges, lambda q: q < value)) AS bin, count(*) AS c
+        FROM events, e WHERE value IS NOT NULL GROUP BY 1, 2),
+tot AS (SELECT w, sum(c) AS n FROM cur GROUP BY w),
+j AS (SELECT w, n, greatest(coalesce(p, 0), 1e-4) AS p, greatest(coalesce(c, 0) / n, 1e-4) AS q
+      FROM tot CROSS JOIN (SELECT range AS bin FROM range(10)) LEFT JOIN base USING (bin) LEFT JOIN cur USING (w, bin))
+SELECT CAST(w AS VARCHAR) AS window_start, round(sum((q - p) * ln(q / p)), 6) AS psi, CAST(max(n) AS BIGINT) AS rows FROM j GROUP BY w""")
 def q_stream_drift(spark, sf):
     base = table(spark, sf, "events").select((F.col("value") * 0.8).alias("value"))
     edges = [r["value"] for r in quantiles(base, ["value"], [i / 10 for i in range(1, 10)]).orderBy("prob").collect()]
@@ -86,9 +88,8 @@ def q_stream_drift(spark, sf):
               .agg(F.count(F.lit(1)).alias("c")).collect()}  # ≤ 10 bins
     total = sum(counts.values())
     shares = [counts.get(i, 0) / total for i in range(10)]
-    fn = stream.stream_drift(None, "value", edges, shares)
-    out, _ = stream.run_to_table(_events(spark, sf), "drift", process=fn)
-    return rounded(out)
+    counts, _ = stream.run_to_table(stream.stream_drift(_events(spark, sf), "ts", "value", edges), "drift", keys=["window_start", "bin"])
+    return rounded(stream.drift_of(counts, shares).withColumn("window_start", _tscol("window_start")))
 
 
 def _pii_case(col):

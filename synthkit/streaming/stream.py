@@ -3,9 +3,9 @@
 Event time must be ``timestamp`` for watermarks (``timestamp_ntz`` is
 rejected), so :func:`events_stream` casts it (the session time zone is UTC in
 our sessions) and outputs cast back.  Results are written by a file sink in
-append mode with a checkpoint under the shared scratch dir, so a restarted
-query resumes exactly once; :func:`run_to_table` drains the available input
-(``availableNow``) and returns the sink as a batch DataFrame.
+append mode, or batch by batch into a folder per batch id; with the same
+folders a restarted query resumes exactly once.  :func:`run_to_table` drains
+the available input (``availableNow``) and returns the sink as a batch DataFrame.
 """
 
 from __future__ import annotations
@@ -30,27 +30,39 @@ def events_stream(spark: SparkSession, path: str, schema: str, ts: str = "ts", g
     return sdf.withColumn(ts, F.col(ts).cast("timestamp")) if ts else sdf
 
 
-def run_to_table(sdf: DataFrame, name: str = "stream", mode: str = "append",
-                 process=None) -> tuple[DataFrame, StreamingQuery]:
-    """Drain the stream into parquet under the scratch dir; returns (result, finished query).
+def run_to_table(sdf: DataFrame, name: str = "stream", mode: str = "append", process=None, keys: list[str] | None = None,
+                 out: str | None = None, checkpoint: str | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Drain the stream into parquet; returns (result, finished query).
 
-    ``process(batch_df, batch_id) -> DataFrame`` switches to ``foreachBatch``
-    and appends what it returns.
+    ``out`` and ``checkpoint`` are the caller's folders, so a later call goes on
+    where this one stopped; without them both are new under the scratch dir.
+    ``process(batch_df, batch_id) -> DataFrame`` uses ``foreachBatch``.  With
+    ``keys`` the query runs in update mode and the result holds the newest row of
+    each key, so windows that the watermark has not closed are delivered too.
+    Both write one folder per batch id and overwrite it, so a batch that is
+    replayed after a failure is not written twice.
     """
     spark = sdf.sparkSession
-    out = scratch_dir(spark, name + "-out")
-    ckpt = scratch_dir(spark, name + "-ckpt")
-    w = sdf.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if process is None:
+    out = out or scratch_dir(spark, name + "-out")
+    w = sdf.writeStream.option("checkpointLocation", checkpoint or scratch_dir(spark, name + "-ckpt")).trigger(availableNow=True)
+    if process is None and keys is None:
         q = w.outputMode(mode).format("parquet").option("path", out).start()
     else:
         def sink(batch, batch_id):
-            process(batch, batch_id).write.mode("append").parquet(out)
-        q = w.outputMode(mode).foreachBatch(sink).start()
+            rows = process(batch, batch_id) if process else batch
+            rows.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        q = w.outputMode("update" if keys else mode).foreachBatch(sink).start()
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out), q
+    if process is None and keys is None:
+        return spark.read.parquet(out), q
+    rows = spark.read.option("basePath", out).parquet(f"{out}/_batch=*")
+    if keys:
+        names = [c for c in rows.columns if c != "_batch"]
+        newest = F.max_by(F.struct(*names), "_batch")
+        rows = rows.groupBy(*[F.col(k).alias("_k" + k) for k in keys]).agg(newest.alias("r")).select("r.*")
+    return rows.drop("_batch"), q
 
 
 def _ntz(c):
@@ -93,32 +105,35 @@ def stream_pii(sdf: DataFrame, text_cols: list[str]) -> DataFrame:
     return sdf.withColumn("pii", F.array_join(F.array_distinct(kinds), ",")).filter(F.size(kinds) > 0)
 
 
-def stream_drift(sdf: DataFrame, value: str, edges: list[float], base_shares: list[float],
-                 eps: float = 1e-4) -> "callable":
-    """A ``foreachBatch`` function: PSI of each micro-batch against fixed baseline bin shares.
+def stream_drift(sdf: DataFrame, ts: str, value: str, edges: list[float], size: str = "30 days", delay: str = "2 days") -> DataFrame:
+    """Rows per (event-time window, baseline bin), in any number of batches; :func:`drift_of` turns them into PSI.
 
-    ``edges`` are the baseline's inner quantile edges (bin = edges below x);
-    ``base_shares`` its share per bin.  The baseline is a literal (size = bins).
+    ``edges`` are the baseline's inner quantile edges (bin = edges below x).
     """
     arr = F.array(*[F.lit(float(e)) for e in edges])
+    x = F.col(value).cast("double")
+    rows = sdf.where(x.isNotNull()).withColumn("bin", F.size(F.filter(arr, lambda e: e < x)))
+    counts = rows.withWatermark(ts, delay).groupBy(F.window(ts, size).alias("w"), "bin").agg(F.count(F.lit(1)).alias("c"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "bin", "c")
+
+
+def drift_of(counts: DataFrame, base_shares: list[float], eps: float = 1e-4) -> DataFrame:
+    """(window_start, psi, rows): PSI of each window against the baseline's share per bin (a literal)."""
     base = F.array(*[F.lit(float(s)) for s in base_shares])
+    per = counts.groupBy("window_start").agg(F.sum("c").alias("rows"), F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))
+    bins = F.sequence(F.lit(0), F.lit(len(base_shares) - 1))
 
-    def process(batch: DataFrame, batch_id: int) -> DataFrame:
-        b = (batch.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-             .select(F.size(F.filter(arr, lambda e: e < F.col("x"))).alias("bin")))
-        counts = b.groupBy("bin").agg(F.count(F.lit(1)).alias("c"))
-        total = counts.agg(F.sum("c")).scalar()
-        full = batch.sparkSession.range(len(base_shares)).select(F.col("id").cast("int").alias("bin"))
-        j = full.join(counts, "bin", "left").fillna(0, ["c"])
-        p = F.greatest(F.element_at(base, F.col("bin") + 1), F.lit(eps))
-        q = F.greatest(F.col("c") / total, F.lit(eps))
-        return j.agg(F.lit(batch_id).cast("bigint").alias("batch_id"), F.sum((q - p) * F.log(q / p)).alias("psi"),
-                     F.sum("c").cast("bigint").alias("rows"))
-    return process
+    def term(b):
+        p = F.greatest(F.get(base, b), F.lit(eps))
+        q = F.greatest(F.coalesce(F.element_at("m", b), F.lit(0)) / F.col("rows"), F.lit(eps))
+        return (q - p) * F.log(q / p)
+    psi = F.aggregate(F.transform(bins, term), F.lit(0.0), lambda a, x: a + x)
+    return per.select("window_start", psi.alias("psi"), F.col("rows").cast("bigint").alias("rows"))
 
 
 def late_rows(q: StreamingQuery) -> int:
-    """Rows dropped because they arrived behind the watermark, over all finished batches.
+    """Rows dropped because they arrived behind the watermark, over the batches that the query's progress keeps
+    (``spark.sql.streaming.numRecentProgressUpdates``; 100 unless set before the query starts).
 
     Counted where the state store sees them: for a windowed aggregate that is
     one row per late (window, key) partial aggregate; for dedup, input rows.

@@ -94,3 +94,42 @@ def test_late_rows_counted(spark, tmp_path):
     # the state store sees partial aggregates: one dropped row per late (window, key) group
     groups = late.select(F.date_trunc("day", "ts"), "event_type").distinct().count()
     assert stream.late_rows(q2) == groups
+
+
+def _event_files(spark, n, repeats=False):
+    """events in n files by time, so that a one-file trigger gives n batches."""
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    path = scratch_dir(spark, f"events-{n}")
+    rows = ev.orderBy("ts").collect()
+    for i in range(n):
+        part = rows[i * len(rows) // n:(i + 1) * len(rows) // n]
+        spark.createDataFrame(part + (part[-5:] if repeats else []), ev.schema).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_streams_give_the_same_for_one_and_many_batches(spark):
+    from synthkit.plans.catalog_stream import EVENTS_SCHEMA
+    got = []
+    for n in (1, 5):
+        src = stream.events_stream(spark, _event_files(spark, n, repeats=True), EVENTS_SCHEMA, max_files=1)
+        profile, q = stream.run_to_table(stream.stream_profile(src, "ts", "event_type", "value"), "p", keys=["window_start", "event_type"])
+        assert len(q.recentProgress) >= n
+        dedup, _ = stream.run_to_table(stream.stream_dedup(src, ["event_id"], "ts"), "d")
+        drift, _ = stream.run_to_table(stream.stream_drift(src, "ts", "value", [1.0, 5.0]), "f", keys=["window_start", "bin"])
+        got.append([sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in x.collect()), key=str)
+                    for x in (profile.select("window_start", "event_type", "n", "min"), dedup.select("event_id"),
+                              stream.drift_of(drift, [0.3, 0.4, 0.3]))])
+    total = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert got[0][1] == got[1][1] and len(got[0][1]) == total
+    assert sum(r[2] for r in got[1][0]) == total + 25 and sum(r[2] for r in got[0][0]) == total + 5
+    assert {r[:2] for r in got[0][0]} == {r[:2] for r in got[1][0]} and len(got[0][2]) == len(got[1][2])
+
+
+def test_a_restart_goes_on_in_the_same_folders(spark):
+    from synthkit.plans.catalog_stream import EVENTS_SCHEMA
+    path = _event_files(spark, 3)
+    folders = {"out": scratch_dir(spark, "o"), "checkpoint": scratch_dir(spark, "c")}
+    for _ in range(2):  # the second run finds nothing new
+        src = stream.events_stream(spark, path, EVENTS_SCHEMA, max_files=1)
+        out, _ = stream.run_to_table(src.select("event_id"), "r", process=lambda b, i: b, **folders)
+        assert out.count() == spark.read.parquet(path).count()
