@@ -83,6 +83,18 @@ def _one_row_unpivot(df: DataFrame, specs: dict[str, list[tuple[str, Column, str
     return out
 
 
+def _per_column(df: DataFrame, cols: list[str], entry, aggs: list[Column]) -> DataFrame:
+    """The same aggregates for every column in ONE scan: (column, ...) entries, grouped by column.
+
+    The entries of a row exist in memory only; a map task sends one partial row
+    per column.  The plan and its generated code do not grow with the columns.
+    Columns without rows are listed with nulls.
+    """
+    long = df.select(F.explode(F.array(*[entry(c) for c in cols])).alias("_e")).select("_e.*")
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    return every.join(long.groupBy("column").agg(*aggs), "column", "left")
+
+
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Long form ``(column, v, cnt)``: one row per distinct non-null value of each column.
 
@@ -114,27 +126,30 @@ def column_stats(df: DataFrame, cols: list[str] | None = None,
     instead of the long-form exact count.
     """
     cols = cols or df.columns
-    specs = {}
-    for c in cols:
-        dt = df.schema[c].dataType
-        s = [("n", F.count(F.col(c)), "bigint"),
-             ("nulls", F.count_if(F.col(c).isNull()), "bigint")]
-        if not exact_distinct:
-            s.append(("distinct", F.approx_count_distinct(F.col(c)), "bigint"))
-        x = F.col(c).cast("double") if _is(dt, _NUMERIC) else None
-        for stat, fn in (("min", F.min), ("max", F.max), ("mean", F.avg), ("stddev", F.stddev),
-                         ("skewness", F.skewness), ("kurtosis", F.kurtosis)):
-            s.append((stat, fn(x) if x is not None else F.lit(None).cast("double"), "double"))
-        if x is not None:
-            s[[k for k, _, _ in s].index("mean")] = ("mean", F.coalesce(exact_mean(x), F.avg(x)), "double")
-        specs[c] = s
-    stats = _one_row_unpivot(df, specs)
+
+    def entry(c):
+        x = F.col(c).cast("double") if _is(df.schema[c].dataType, _NUMERIC) else F.lit(None).cast("double")
+        h = [] if exact_distinct else [F.xxhash64(F.col(c)).alias("h")]
+        return F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("z"), x.alias("x"), *h)
+
+    aggs = [F.count_if(~F.col("z")).alias("n"), F.count_if("z").alias("nulls"), F.min("x").alias("min"), F.max("x").alias("max"),
+            F.coalesce(exact_mean(F.col("x")), F.avg("x")).alias("mean")]
+    aggs += [fn("x").alias(k) for k, fn in (("stddev", F.stddev), ("skewness", F.skewness), ("kurtosis", F.kurtosis))]
+    if not exact_distinct:
+        aggs.append(F.approx_count_distinct(F.when(~F.col("z"), F.col("h"))).alias("distinct"))
+    stats = _per_column(df, cols, entry, aggs)
     if exact_distinct:
         d = value_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-        stats = stats.join(d, "column", "left").withColumn(
-            "distinct", F.coalesce(F.col("distinct"), F.lit(0)).cast("bigint"))
-    return stats.select("column", "n", "nulls", "distinct", "min", "max", "mean", "stddev",
-                        "skewness", "kurtosis")
+        stats = stats.join(d, "column", "left")
+    counts = [F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(k) for k in ("n", "nulls", "distinct")]
+    return stats.select("column", *counts, "min", "max", "mean", "stddev", "skewness", "kurtosis")
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """(column, n, nulls) of every column in one scan."""
+    out = _per_column(df, df.columns, lambda c: F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("z")),
+                      [F.count_if(~F.col("z")).alias("n"), F.count_if("z").alias("nulls")])
+    return out.fillna(0, ["n", "nulls"])
 
 
 def infer_types(df: DataFrame, min_rate: float = 0.99, enum_max: int = 50,
@@ -148,21 +163,15 @@ def infer_types(df: DataFrame, min_rate: float = 0.99, enum_max: int = 50,
     ``json`` (ours).
     """
     stats = stats if stats is not None else column_stats(df)
-    specs = {}
-    for f in df.schema.fields:
-        c, dt = f.name, f.dataType
-        s = [("len_max", F.max(F.length(F.col(c))) if _is(dt, T.StringType) else F.lit(None), "bigint"),
-             ("has_space", F.count_if(F.col(c).rlike(r"\s")) if _is(dt, T.StringType) else F.lit(None),
-              "bigint")]
-        if _is(dt, T.StringType):
-            s += [("ok_int", F.count_if(F.expr(f"try_cast(`{c}` as bigint)").isNotNull()), "bigint"),
-                  ("ok_float", F.count_if(F.expr(f"try_cast(`{c}` as double)").isNotNull()), "bigint"),
-                  ("ok_date", F.count_if(F.expr(f"try_cast(`{c}` as date)").isNotNull()), "bigint"),
-                  ("ok_uuid", F.count_if(F.col(c).rlike(UUID_PATTERN)), "bigint")]
-        else:
-            s += [(k, F.lit(None), "bigint") for k in ("ok_int", "ok_float", "ok_date", "ok_uuid")]
-        specs[c] = s
-    parse = _one_row_unpivot(df, specs)
+    def entry(c):
+        text = F.col(c) if _is(df.schema[c].dataType, T.StringType) else F.lit(None).cast("string")
+        return F.struct(F.lit(c).alias("column"), text.alias("v"))
+
+    ok = {"has_space": F.col("v").rlike(r"\s"), "ok_int": F.col("v").try_cast("bigint").isNotNull(),
+          "ok_float": F.col("v").try_cast("double").isNotNull(), "ok_date": F.col("v").try_cast("date").isNotNull(),
+          "ok_uuid": F.col("v").rlike(UUID_PATTERN)}
+    parse = _per_column(df, df.columns, entry, [F.max(F.length("v")).cast("bigint").alias("len_max"),
+                                                *[F.count_if(c).alias(k) for k, c in ok.items()]])
     kinds = []
     for f in df.schema.fields:
         dt = f.dataType
@@ -276,18 +285,13 @@ FAMILIES = ("gaussian", "lognormal", "uniform", "exponential")
 
 def moment_sums(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per column the closed-form sufficient statistics of every family, one aggregate."""
-    specs = {}
-    for c in cols:
-        x = _as_double(df, c)
-        pos = F.when(x > 0, x)
-        specs[c] = [("n", F.count(x), "bigint"), ("sx", F.sum(x), "double"),
-                    ("sxx", F.sum(x * x), "double"), ("mean", F.avg(x), "double"),
-                    ("sd", F.stddev(x), "double"), ("var_pop", F.var_pop(x), "double"),
-                    ("n_pos", F.count(pos), "bigint"), ("n_neg", F.count_if(x < 0), "bigint"),
-                    ("sl", F.sum(F.log(pos)), "double"), ("ml", F.avg(F.log(pos)), "double"),
-                    ("sdl", F.stddev(F.log(pos)), "double"), ("vl_pop", F.var_pop(F.log(pos)), "double"),
-                    ("lo", F.min(x), "double"), ("hi", F.max(x), "double")]
-    return _one_row_unpivot(df, specs)
+    x, pos = F.col("x"), F.when(F.col("x") > 0, F.col("x"))
+    stats = {"n": F.count(x), "sx": F.sum(x), "sxx": F.sum(x * x), "mean": F.avg(x), "sd": F.stddev(x), "var_pop": F.var_pop(x),
+             "n_pos": F.count(pos), "n_neg": F.count_if(x < 0), "sl": F.sum(F.log(pos)), "ml": F.avg(F.log(pos)),
+             "sdl": F.stddev(F.log(pos)), "vl_pop": F.var_pop(F.log(pos)), "lo": F.min(x), "hi": F.max(x)}
+    out = _per_column(df, cols, lambda c: F.struct(F.lit(c).alias("column"), _as_double(df, c).alias("x")),
+                      [c.alias(k) for k, c in stats.items()])
+    return out.fillna(0, ["n", "n_pos", "n_neg"])
 
 
 def fit_best(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -304,7 +308,7 @@ def fit_best(df: DataFrame, cols: list[str]) -> DataFrame:
     aic_l = F.when(F.col("n_pos") == F.col("n"),
                    F.lit(4.0) + 2 * F.col("sl") + n * (F.log(two_pi * F.col("vl_pop")) + 1))
     aic_u = F.when(F.col("hi") > F.col("lo"), F.lit(4.0) + 2 * n * F.log(F.col("hi") - F.col("lo")))
-    rate = F.lit(1.0) / F.col("mean")
+    rate = F.when(F.col("mean") != 0, F.lit(1.0) / F.col("mean"))
     aic_e = F.when((F.col("n_neg") == 0) & (F.col("mean") > 0),
                    F.lit(2.0) - 2 * n * F.log(rate) + 2 * n)
     m = (m.withColumn("aic_gaussian", aic_g).withColumn("aic_lognormal", aic_l)
@@ -387,14 +391,19 @@ def unique_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r for every column pair a < b in one aggregate → ``(a, b, r)``."""
-    specs = {}
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            specs[f"{a}\u0001{b}"] = [("r", F.corr(_as_double(df, a), _as_double(df, b)), "double")]
-    out = _one_row_unpivot(df, specs)
-    parts = F.split(F.col("column"), "\u0001")
-    return out.select(parts[0].alias("a"), parts[1].alias("b"), "r")
+    """Pearson r for every column pair a < b in one scan → ``(a, b, r)``; rows with a null in a pair are left out of it.
+
+    A constant column has no correlation (null).
+    """
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _as_double(df, a).alias("x"), _as_double(df, b).alias("y"))
+             for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    long = df.select(F.explode(F.array(*pairs)).alias("_e")).select("_e.*")
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
+    sums = long.groupBy("a", "b").agg(F.covar_pop(x, y).alias("c"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("s"))
+    return sums.select("a", "b", F.when(F.col("s") > 0, F.col("c") / F.col("s")).alias("r"))
 
 
 def average_ranks(df: DataFrame, col: str) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from synthkit.functions.random import uniform
 from synthkit.functions.text import shorten, slugify
 from synthkit.operators.profile import (
-    column_stats, fit_best, infer_types, num_text, value_counts,
+    fit_best, infer_types, null_counts, num_text, value_counts,
 )
+from synthkit.session import scratch_dir
 
 
 def _epoch_to_date_text(x: Column) -> Column:
@@ -64,9 +65,10 @@ def profile_table(df: DataFrame, seed: int = 0, enum_max: int = 50, min_rate: fl
     shares_text and sample.
     """
     # the long-form counts feed distinct counts, shares and samples: write them once
+    scratch_dir(df.sparkSession)  # makes sure a checkpoint dir is set
     vc = value_counts(df).checkpoint()
     distinct = vc.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    stats = (column_stats(df, exact_distinct=False).drop("distinct").join(distinct, "column", "left")
+    stats = (null_counts(df).join(distinct, "column", "left")
              .withColumn("distinct", F.coalesce(F.col("distinct"), F.lit(0)).cast("bigint")))
     types = infer_types(df, min_rate=min_rate, enum_max=enum_max, stats=stats)
     fit_cols = [f.name for f in df.schema.fields

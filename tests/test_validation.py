@@ -144,3 +144,17 @@ def test_running_sums_match_a_single_window(spark):
     w = Window.partitionBy("g").orderBy("x")
     bad = got.withColumn("want", F.sum("v").over(w)).where("s <> want")
     assert bad.count() == 0 and got.count() == 5000
+
+
+def test_reports_scan_the_table_as_often_for_many_columns_as_for_few(spark, tmp_path):
+    from synthkit.operators import profile
+    spark.range(500).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(f"c{i}") for i in range(30)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def scans(out):
+        out.collect()
+        return out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+    few, many = df.columns[:3], df.columns
+    for report in (profile.column_stats, profile.fit_best, profile.correlations):
+        assert scans(report(df, few)) == scans(report(df, many))
+    assert profile.null_counts(df.limit(0)).where("n = 0 AND nulls = 0").count() == 30
