@@ -19,7 +19,6 @@ END_ID = 2
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
 #: A run of letters up to an ASCII non-letter or the end; else up to a space; else white space.
 _PART = re.compile(rf" ?[{_LETTERS}]+(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-_WORD = re.compile(rf" ?[{_LETTERS}]+")
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]|<\|")
 
 
@@ -28,6 +27,22 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _plain_parts(key: str) -> list[str] | None:
+    """Parts of a piece of letters with at most one mark behind it, as the pattern gives them; None: another piece."""
+    head, body = (["\n"], key[1:]) if key[0] == "\n" else ([], key)
+    tail = [body[-1]] if body[-1] in ".,;:!?" else []
+    word = body[:-1] if tail else body
+    if word.isalpha() and (word.isascii() or max(word) <= "ʯ"):
+        return [*head, word if head else " " + word, *tail]
+    return None
+
+
+def _is_word(part: str) -> bool:
+    """One run of letters, with or without a space before it."""
+    word = part[1:] if part[0] == " " else part
+    return word.isalpha() and (word.isascii() or max(word) <= "ʯ")
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes, without an end id.
 
@@ -35,7 +50,7 @@ class Encoder:
     becomes the old one, from which entries still in use are taken over (results stay the same).
     """
 
-    def __init__(self, path: str | None = None, max_entries: int = 400_000):
+    def __init__(self, path: str | None = None, max_entries: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -66,7 +81,7 @@ class Encoder:
         if got is None:
             got = self._old_parts.get(part)
             if got is None:
-                if len(part) < 200 and _WORD.fullmatch(part):
+                if len(part) < 200 and _is_word(part):
                     shown = (part.replace(" ", self._shown[0x20]) if part.isascii()
                              else part.encode().decode("latin-1").translate(self._shown))
                     got = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
@@ -81,7 +96,11 @@ class Encoder:
         """Ids of a piece between spaces (with the space or line break before it); None: look at the whole text."""
         if key in self._old_pieces:
             got = self._old_pieces[key]
-        elif key in ("", "\n") or _ODD.search(key):
+        elif key in ("", "\n"):
+            got = None
+        elif (parts := _plain_parts(key)) is not None:
+            got = b"".join(map(self._part, parts))
+        elif _ODD.search(key):
             got = None
         else:
             got = b"".join(map(self._part, _PART.findall(key if key[0] == "\n" else " " + key)))
@@ -100,7 +119,7 @@ class Encoder:
         if first and not _ODD.search(first):
             keys[0] = "\n"
             known = self._pieces
-            out = [known[k] if k in known else self._piece(k) for k in keys]
+            out = [known.get(k) or self._piece(k) for k in keys]
             out[0] = b"".join(map(self._part, _PART.findall(first)))
             if None not in out:
                 return b"".join(out)
