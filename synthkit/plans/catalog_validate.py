@@ -310,7 +310,18 @@ def q_pii_scan(spark, sf):
     return validate.pii_scan(table(spark, sf, "documents"), ["text"])
 
 
-@register("pii_scan_luhn")
+_LUHN = ("(list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INTEGER) "
+         "ELSE 2 * CAST(substr(d, i, 1) AS INTEGER) - CASE WHEN substr(d, i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0)")
+_PII_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{k}' AS kind, 'text' AS column, count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS rows, "
+    f"CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT) AS hits FROM documents"
+    for k, p in validate.PII_PATTERNS.items())
+
+
+@register("pii_scan_luhn", f"""{_PII_SQL}
+UNION ALL SELECT 'card_luhn', 'text', count(*) FILTER (WHERE n > 0), CAST(coalesce(sum(n), 0) AS BIGINT) FROM (
+  SELECT len(list_filter(list_transform(regexp_extract_all(text, '{validate.PII_PATTERNS["card"]}'),
+                                        lambda m: regexp_replace(m, '[ -]', '', 'g')), lambda d: {_LUHN})) AS n FROM documents)""")
 def q_pii_scan_luhn(spark, sf):
     return validate.pii_scan(table(spark, sf, "documents"), ["text"], luhn=True)
 
@@ -335,7 +346,15 @@ def q_source_leak(spark, sf):
     return validate.source_leak(docs, bench, ["text"]).select("item_id")
 
 
-@register("nearest_source")
+@register("nearest_source", f"""
+WITH src AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_totalprice AS x, o_custkey AS y FROM orders),
+st AS (SELECT stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM src),
+ids AS (SELECT range AS syn_id FROM range((SELECT count(*) FROM orders))),
+draw AS (SELECT syn_id, CAST(floor({u_sql(3, 'bootstrap', 'syn_id')} * (SELECT count(*) FROM orders)) AS BIGINT) AS pos FROM ids),
+syn AS (SELECT syn_id, x + 0.1 * sx * {normal_sql(3, 'jitter:o_totalprice', 'syn_id')} AS x, y + 0.1 * sy * {normal_sql(3, 'jitter:o_custkey', 'syn_id')} AS y
+        FROM draw JOIN src USING (pos), st)
+SELECT syn_id, round(min(sqrt(((syn.x - src.x) / sx) * ((syn.x - src.x) / sx) + ((syn.y - src.y) / sy) * ((syn.y - src.y) / sy))), 6) AS distance
+FROM syn, src, st GROUP BY syn_id""")
 def q_nearest_source(spark, sf):
     from synthkit.operators.synth import smooth_bootstrap
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
