@@ -172,7 +172,7 @@ def _add_slice(df, text_col, hit, items, bundle, broadcast, ranges, item_type, k
     fields = [T.StructField("_hit", ranges), T.StructField("_items", T.ArrayType(item_type))]
     if last:
         fields += [T.StructField("_n", T.LongType()), T.StructField("_hits", T.LongType()), T.StructField("_spans", _SPAN)]
-    item_arrow = pa.list_(T_to_arrow(item_type))
+    item_arrow = pa.list_(arrow_type(item_type))
     span_arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     range_arrow = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
@@ -220,7 +220,7 @@ def _free(fields, kept):
     return out
 
 
-def T_to_arrow(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
     return to_arrow_type(kind)
 
