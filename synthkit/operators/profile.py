@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthkit.functions.random import uniform
-from synthkit.functions.text import shorten
 from synthkit.operators.ordering import with_running_sums
 
 _CHUNK = 100

@@ -88,6 +88,32 @@ def reject_resample(spark: SparkSession, spec: dict, n: int, rules: list[dict],
     return out, report
 
 
+def synthesize_checked(spark: SparkSession, spec: dict) -> tuple[DataFrame, DataFrame]:
+    """A spec's dataset with its constraints and edge cases → (rows, report).
+
+    Every row meets every constraint of the spec (SQL texts): the rows are those
+    of the smallest ids that do.  Then come the edge cases, on ids of their own.
+    The report has a row for the constraints and for each edge case: requested,
+    generated, candidates, shortfall.
+    """
+    rules = [{"name": f"c{i}", "expr": c} for i, c in enumerate(spec.get("constraints") or [])]
+    n = int(spec["rows"])
+    if rules:
+        rows, report = reject_resample(spark, spec, n, rules)
+    else:
+        rows, report = synthesize(spark, spec), {"requested": n, "generated": n, "candidates": n, "acceptance": 1.0, "shortfall": 0}
+    lines = [("rows", report)]
+    for i, case in enumerate(spec.get("edge_cases") or []):
+        own = {**spec, "seed": int(spec.get("seed", 0)) + 1000 * (i + 1)}
+        extra, r = reject_resample(spark, own, int(case["rows"]), [*rules, {"name": "edge", "expr": case["where"]}])
+        lines.append((case["name"], r))
+        rows = rows.unionByName(extra.withColumn("id", -1 - F.col("id")))  # ids of edge cases are negative
+    keys = ("requested", "generated", "candidates", "shortfall")
+    table = spark.createDataFrame([(name, *(int(r[k]) for k in keys)) for name, r in lines],
+                                  "name string, requested long, generated long, candidates long, shortfall long")
+    return rows, table
+
+
 def edge_cases(spark: SparkSession, spec: dict, where: str, n: int, source: DataFrame | None = None, key: str | None = None,
                **kw) -> tuple[DataFrame, dict]:
     """Rows meeting ``where`` (e.g. ``hba1c > 12 AND size(comorbidities) >= 3``), by rejection.

@@ -7,7 +7,6 @@ category distances use a full outer join of the two share tables.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window

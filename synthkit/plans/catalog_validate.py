@@ -489,6 +489,20 @@ def q_refine_spec(spark, sf):
     return rounded(synthesize(spark, spec2))
 
 
+@register("synthesize", f"""
+WITH p AS (SELECT avg(l_quantity) AS mu, stddev_samp(l_quantity) AS sigma, count(*) AS n FROM lineitem),
+g AS (SELECT id, mu + sigma * {normal_sql(4, 'l_quantity', 'id')} AS q FROM (SELECT range AS id FROM range((SELECT 3 * n FROM p))), p)
+SELECT id, round(q, 6) AS l_quantity FROM g WHERE q BETWEEN 1 AND 50 ORDER BY id LIMIT (SELECT count(*) FROM lineitem)""")
+def q_synthesize(spark, sf):
+    """As many rows as lineitem has, all within the constraint."""
+    li = table(spark, sf, "lineitem")
+    st = li.agg(F.avg("l_quantity").alias("mu"), F.stddev("l_quantity").alias("sigma"), F.count(F.lit(1)).alias("n")).first()
+    spec = {"rows": st["n"], "seed": 4, "constraints": ["l_quantity BETWEEN 1 AND 50"], "columns": [
+        {"name": "l_quantity", "type": "float", "spark_type": "double", "dist": {"family": "gaussian", "mu": st["mu"], "sigma": st["sigma"]}}]}
+    rows, _ = rules.synthesize_checked(spark, spec)
+    return rounded(rows)
+
+
 @register("edge_cases")
 def q_edge_cases(spark, sf):
     """Rows meeting a rare predicate, generated from the spec inferred from lineitem."""

@@ -1,7 +1,5 @@
 """Row operations, sources/sinks and streaming against brute force or batch twins."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from synthkit.operators import rowops

@@ -78,3 +78,15 @@ def test_xxhash_mode_is_partition_independent(spark):
     a = synthesize(spark, spec, rows=1000, num_partitions=1)
     b = synthesize(spark, spec, rows=1000, num_partitions=5)
     assert _rows(a) == _rows(b)
+
+
+def test_constraints_and_edge_cases_of_a_spec_are_met(spark):
+    from synthkit.operators.rules import synthesize_checked
+    from synthkit.plans.spec import COHORT_SPEC, refine
+    spec = refine(COHORT_SPEC, {"rows": 2000, "constraints": ["age BETWEEN 40 AND 60", "hba1c < 14"],
+                                "edge_cases": [{"name": "high", "where": "hba1c > 11", "rows": 50}]})
+    rows, report = synthesize_checked(spark, spec)
+    rows = rows.cache()
+    assert rows.count() == 2050 and rows.where("NOT (age BETWEEN 40 AND 60 AND hba1c < 14)").count() == 0
+    assert rows.where("id < 0 AND hba1c > 11").count() == 50 and rows.select("id").distinct().count() == 2050
+    assert {r.name: (r.requested, r.shortfall) for r in report.collect()} == {"rows": (2000, 0), "high": (50, 0)}
