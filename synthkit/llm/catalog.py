@@ -75,8 +75,9 @@ def op10_pack(spark, sf_dir):
 def op9_secrets(spark, sf_dir):
     from synthkit.llm.secret_scan import scan_secrets, spans_text
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    of = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in range(3)]
-    return found.select("doc_id", of[0].alias("n_assign"), of[1].alias("n_access"), of[2].alias("n_hex"),
+    def of(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
                         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
@@ -122,8 +123,10 @@ def op5_pseudonyms(spark, sf_dir):
     """Every document with its private values replaced, and how many of each kind."""
     from synthkit.llm.pseudonyms import KINDS, pseudonymize
     done = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus-key-1")
-    of = [F.size(F.filter("kinds", lambda x, k=k: x == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return done.select("doc_id", "text", F.size("kinds").cast("bigint").alias("n_private"), *of)
+
+    def of(kind):
+        return F.size(F.filter("kinds", lambda x: x == kind)).cast("bigint").alias(f"n_{kind}")
+    return done.select("doc_id", "text", F.size("kinds").cast("bigint").alias("n_private"), *[of(k) for k in KINDS])
 
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain Python, and the registered queries of this package."""
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -55,3 +56,27 @@ def test_op2_holds_out_a_quarter(spark):
     import __spark_entry__ as e
     for r in e.queries()["op2_toxicity"](spark, SF).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3)
+
+
+def test_op9_counts_and_digests(spark):
+    import __spark_entry__ as e
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    names = ("assign", "access", "hex")
+    found = 0
+    for r in e.queries()["op9_secrets"](spark, SF).collect():
+        base = brute_base(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        joined = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) <= {*r.spans.split(","), ""}
+        found += len(base)
+    assert found
+
+
+def test_op5_counts_kinds_and_leaves_clean_texts(spark):
+    import __spark_entry__ as e
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = e.queries()["op5_pseudonyms"](spark, SF).collect()
+    assert len(rows) == len(texts) and sum(r.n_private for r in rows)
+    for r in rows:
+        assert r.n_private == r.n_email + r.n_iban + r.n_ip + r.n_date + r.n_ssn + r.n_phone + r.n_card
+        assert (r.text != texts[r.doc_id]) == (r.n_private > 0) and len(r.text) >= len(texts[r.doc_id]) - 20
