@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline
 from synthkit.llm.common import materialize
 from synthkit.llm.simhash_dedup import fingerprint
+from tests.conftest import SF01
 from tests.llm.conftest import SF
 from tests.llm.test_tables import check_packing, plain_components
 from tests.llm.test_text_scans import brute_base, brute_contamination
@@ -60,10 +61,10 @@ def test_op2_holds_out_a_quarter(spark):
 
 def test_op9_counts_and_digests(spark):
     import __spark_entry__ as e
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}
     names = ("assign", "access", "hex")
     found = 0
-    for r in e.queries()["op9_secrets"](spark, SF).collect():
+    for r in e.queries()["op9_secrets"](spark, SF01).collect():
         base = brute_base(texts[r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
         joined = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base)
