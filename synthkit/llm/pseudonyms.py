@@ -12,9 +12,10 @@ kind        found and validated                                    permuted
 card        13 to 19 digits (or groups of 4, or 4-6-5)             all digits but the last, which is set anew
             with a valid Luhn check digit                          to a valid check digit
 iban        country, check digits, 11 to 30 capitals or digits     letters and digits of the account within
-            with a valid remainder of 97                           their class; check digits are set anew
-phone       ``+`` and 8 to 15 digits (spaces, dots, hyphens,       the last digits, up to ten
-            brackets between)
+            (also printed in groups of 4) with a valid             their class; check digits are set anew
+            remainder of 97
+phone       ``+`` and 8 to 15 digits (spaces, dots, hyphens,       the last digits, up to ten; the country
+            brackets between)                                      code stays
 ssn         ddd-dd-dddd with a valid area, group and serial        the number among all valid ones
 ip          four numbers of 0 to 255                               the 32-bit number
 date        yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy that exists,      the day among the 73,441 of that time
@@ -23,6 +24,11 @@ email       local part of letters, digits and ``._+-``             letters and d
                                                                    their class; the domain stays
 ==========  =====================================================  ==========================================
 
+A number may follow a value after a space.  A card in groups of 4 ends after 16 digits if these are valid, an
+IBAN at its country's length, a phone at its country's length if all numbers there have the same (``PLANS``);
+other phones end at the last separator within 15 digits, so a short number behind one of these may be taken
+for a part of it.  What follows a value stays as text.
+
 Numbers that fail their check stay as they are.  A text without matches is returned unchanged.
 
 Defined results: null text stays null; empty text stays empty; repeated rows give repeated rows; an empty
@@ -43,14 +49,28 @@ _DAY = "(?:0[1-9]|[12][0-9]|3[01])"
 _MONTH = "(?:0[1-9]|1[0-2])"
 _YEAR = "(?:19|20|21)[0-9][0-9]"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Country codes with one length for all numbers -> digits after the code.
+PLANS = {"1": 10, "7": 10, "30": 10, "31": 9, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9, "91": 10,
+         "351": 9, "420": 9}
+_PLANNED = "|".join(rf"\+{c}(?:[ .-]?\(?[0-9]\)?){{{n}}}(?![0-9])" for c, n in PLANS.items())
+#: Country codes of one and of two digits; all others have three.
+_CODE_1 = "^[17]"
+_CODE_2 = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Length of a country's IBANs.
+IBANS = {c: int(n) for c, n in (x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 "
+    "EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 "
+    "JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 "
+    "NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 "
+    "TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30").split())}
 #: Shapes of the kinds, as whole values; the first that fits decides.
 SHAPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}",
     "date": rf"{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_MONTH}/{_DAY}/{_YEAR}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}",
+    "phone": _PLANNED + r"|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}",
     "card": r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -]?[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
 }
 #: No letter, digit or dot with a digit may stand beside a value.
@@ -155,17 +175,53 @@ def _mod97(c: Column) -> Column:
     return F.aggregate(F.split(c, ""), F.lit(0), add)
 
 
+def _compact(value: Column) -> Column:
+    return F.translate(value, " ", "")
+
+
+def _iban_valid(value: Column) -> Column:
+    compact = _compact(value)
+    return _mod97(F.concat(F.substring(compact, 5, 40), F.substring(compact, 1, 4))) == 1
+
+
+def _card_valid(digits: Column) -> Column:
+    return (F.pmod(luhn_sum(digits, False), F.lit(10)) == 0) & ~digits.rlike("^0+$")
+
+
+def head_of(match: Column) -> Column:
+    """What of a match of ``FIND`` is the value: all, or its beginning up to a separator."""
+    country = F.substring(match, 1, 2)
+    lengths = F.create_map(*[F.lit(x) for pair in IBANS.items() for x in pair])
+
+    def printed(n):  # an IBAN of n symbols in groups of four
+        return F.substring(match, F.lit(1), n + F.floor((n - 1) / 4).cast("int"))
+
+    n = F.char_length(_compact(match))
+    known = printed(F.element_at(lengths, country))
+    known = F.when(F.substring(match, F.char_length(known) + 1, F.lit(1)).isin("", " "), known)
+    ends = F.filter(F.sequence(n, F.lit(15), F.lit(-1)), lambda k: (k == n) | (F.pmod(k, F.lit(4)) == 0))
+    first_valid = F.get(F.filter(F.transform(ends, printed), _iban_valid), F.lit(0))
+    iban = F.when(F.map_contains_key(lengths, country), F.coalesce(known, match)).otherwise(F.coalesce(first_valid, match))
+    phone = F.regexp_extract(match, r"^\+(?:[ .()-]*[0-9]){8,15}\)?(?=[ .-])", 0)
+    card = F.substring(match, 1, 19)
+    return (F.when(match.rlike("^[A-Z]{2}[0-9]{2} [A-Z0-9 ]+$") & (n >= 15), iban)
+            .when(match.startswith("+") & (F.char_length(_digits(match)) > 15) & (phone != ""), phone)
+            .when(match.rlike("^[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}$"),
+                  F.when(_card_valid(_digits(card)), card).otherwise(match))
+            .otherwise(match))
+
+
 def kind_of(value: Column) -> Column:
     """The validated kind of a value, or null."""
     digits = _digits(value)
     checks = {
         "email": F.lit(True),
-        "iban": _mod97(F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))) == 1,
+        "iban": _iban_valid(value),
         "ip": F.lit(True),
         "date": _day_number(value).between(0, DAYS - 1),
         "ssn": ~digits.rlike("^(000|666|9)") & ~digits.rlike("^...00") & ~digits.rlike("0000$"),
         "phone": F.char_length(digits).between(8, 15),
-        "card": (F.pmod(luhn_sum(digits, False), F.lit(10)) == 0) & ~digits.rlike("^0+$"),
+        "card": _card_valid(digits),
     }
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
@@ -182,8 +238,14 @@ def pseudonym(value: Column, kind: Column, key: str, reverse: bool = False) -> C
     """The value's pseudonym in its own format (``reverse``: the value of a pseudonym)."""
     digits, n = _digits(value), F.char_length(_digits(value))
 
+    # beyond 16 digits, the 16th keeps the Luhn sum of the first 16, which says where a card in groups ends
+    shuffled = F.when(n > 16, F.concat(F.substring(digits, 1, 15), F.substring(digits, F.lit(17), n - 17))).otherwise(
+        F.substring(digits, F.lit(1), n - 1))
+
     def card(p):
-        return _put_digits(value, F.concat(p, F.pmod(-luhn_sum(p, True), F.lit(10)).cast("string")))
+        kept = F.pmod(luhn_sum(F.substring(digits, 1, 16), False) - luhn_sum(F.substring(p, 1, 15), True), F.lit(10))
+        body = F.when(n > 16, F.concat(F.substring(p, 1, 15), kept.cast("string"), F.substring(p, 16, 4))).otherwise(p)
+        return _named(body, lambda q: _put_digits(value, F.concat(q, F.pmod(-luhn_sum(q, True), F.lit(10)).cast("string"))))
 
     def phone(k):
         return _named(permute_symbols(F.substring(digits, n - k + 1, k), key, "phone", reverse),
@@ -192,7 +254,10 @@ def pseudonym(value: Column, kind: Column, key: str, reverse: bool = False) -> C
     def iban(p):
         country = F.substring(value, 1, 2)
         check = F.lit(98) - _mod97(F.concat(p, country, F.lit("00")))
-        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), p)
+        new = F.concat(country, F.lpad(check.cast("string"), 2, "0"), p)
+        return F.when(value.contains(" "), F.rtrim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new)
+
+    code = F.when(digits.rlike(_CODE_1), 1).when(digits.rlike(_CODE_2), 2).otherwise(3)
 
     def ip(v):
         return F.concat_ws(".", *[F.shiftright(v, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
@@ -216,9 +281,9 @@ def pseudonym(value: Column, kind: Column, key: str, reverse: bool = False) -> C
 
     local = F.substring_index(value, "@", 1)
     made = {
-        "card": _named(permute_symbols(F.substring(digits, F.lit(1), n - 1), key, "card", reverse), card),
-        "phone": _named(F.least(n - 1, F.lit(10)), phone),
-        "iban": _named(permute_symbols(F.substring(value, 5, 40), key, "iban", reverse), iban),
+        "card": _named(permute_symbols(shuffled, key, "card", reverse), card),
+        "phone": _named(F.least(n - code, F.lit(10)), phone),
+        "iban": _named(permute_symbols(F.substring(_compact(value), 5, 40), key, "iban", reverse), iban),
         "ip": _named(permute_number(number, 65536, 65536, key, "ip", reverse), ip),
         "ssn": _named(permute_number(place, 898 * 99, 9999, key, "ssn", reverse), ssn),
         "date": _named(permute_number(_day_number(value), 271, 271, key, "date", reverse), date),
@@ -238,9 +303,12 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", reverse: boo
     """
     text = F.col(f"`{text_col}`")
     found, parts, kinds = (free_name(docs, n) for n in ("_found", "_parts", "kinds"))
-    values = F.transform(F.regexp_extract_all(text, F.lit(FIND), F.lit(0)), lambda v: F.struct(v.alias("v"), kind_of(v).alias("k")))
+    values = F.transform(F.transform(F.regexp_extract_all(text, F.lit(FIND), F.lit(0)), lambda m: F.struct(m.alias("m"), head_of(m).alias("v"))),
+                         lambda x: F.struct(x["v"].alias("v"), kind_of(x["v"]).alias("k"),
+                                            F.substring(x["m"], F.char_length(x["v"]) + 1, F.char_length(x["m"])).alias("tail")))
     some = docs.withColumn(found, F.when(text.rlike("[0-9@]"), values))
-    changed = F.transform(F.col(found), lambda x: F.when(x["k"].isNull(), x["v"]).otherwise(pseudonym(x["v"], x["k"], key, reverse)))
+    changed = F.transform(F.col(found), lambda x: F.concat(
+        F.when(x["k"].isNull(), x["v"]).otherwise(pseudonym(x["v"], x["k"], key, reverse)), x["tail"]))
     some = some.withColumn(parts, F.when(F.exists(found, lambda x: x["k"].isNotNull()), F.arrays_zip(
         F.split(text, FIND).alias("gap"), changed.alias("new"))))
     new = F.array_join(F.transform(F.col(parts), lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "")

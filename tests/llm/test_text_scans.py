@@ -143,6 +143,30 @@ def test_pseudonyms_round_trip_and_keep_format(spark, edge, nothing):
     assert pseudonyms.pseudonymize(nothing, "k").count() == 0
 
 
+def test_values_before_a_short_number(spark):
+    card, phone, iban = "4111 1111 1111 1111", "+1 (212) 555-0123", "AT61 1904 3002 3457 3201"
+    # the 18 digits of the second text are a valid card too
+    texts = [f"pay {card} 22 euros", f"pay {card} 26 euros", f"pay {card}", f"call {phone} 2024", f"call {phone} 2024 12", f"call {phone}",
+             "+1 212 555 0123 4111 1111 1111 1111", "call +49 30 1234 5678 2024 1234", f"to {iban} 22 now", iban.replace(" ", ""),
+             "FR14 2004 1010 0505 0001 3M02 606", "6200 0000 0000 0000 018", "6200000000000000018", "DE89 3704 0044 0532 0130 01"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    done = pseudonyms.pseudonymize(docs, "k")
+    got = {r.doc_id: r for r in done.collect()}
+    assert [got[i].kinds for i in range(14)] == [["card"]] * 3 + [["phone"]] * 3 + [["phone", "card"], ["phone"]] + \
+        [["iban"]] * 3 + [["card"]] * 2 + [[]]
+    new_card, new_phone, new_iban = got[2].text[4:], got[5].text[5:], got[9].text
+    assert new_card != card and new_phone != phone and new_phone.startswith("+1 (")
+    assert got[0].text == f"pay {new_card} 22 euros" and got[1].text == f"pay {new_card} 26 euros"
+    assert got[3].text == f"call {new_phone} 2024" and got[4].text == f"call {new_phone} 2024 12"
+    assert re.sub(r"\D", "", got[6].text) == re.sub(r"\D", "", new_phone + new_card)
+    assert got[7].text.startswith("call +49 ") and got[7].text.endswith(" 2024 1234")
+    assert re.fullmatch(r"to AT\d\d( \d{4}){4} 22 now", got[8].text) and got[8].text[3:-7].replace(" ", "") == new_iban
+    assert re.fullmatch(r"FR\d\d \d{4} \d{4} \d{4} \d{4} \d[A-Z]\d\d \d{3}", got[10].text) and got[10].text != texts[10]
+    assert got[11].text.replace(" ", "") == got[12].text != texts[12] and got[13].text == texts[13]
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymize(done.drop("kinds"), "k", reverse=True).collect()}
+    assert back == dict(enumerate(texts))
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(13 * 11).select(F.col("id"), pseudonyms.permute_number(F.col("id"), 13, 11, "k", "t").alias("p"))
     n = n.withColumn("b", pseudonyms.permute_number(F.col("p"), 13, 11, "k", "t", reverse=True))
