@@ -131,3 +131,22 @@ def test_a_restart_goes_on_in_the_same_folders(spark):
         src = stream.events_stream(spark, path, EVENTS_SCHEMA, max_files=1)
         out, _ = stream.run_to_table(src.select("event_id"), "r", process=lambda b, i: b, **folders)
         assert out.count() == spark.read.parquet(path).count()
+
+
+def test_rank_correlations_rank_within_each_pair(spark):
+    from synthkit.operators.profile import rank_correlations
+    rows = [(i, float(i * 7 % 31), float(i * i % 23), float(i % 5) if i % 3 == 0 else None, 1.0 * i if i % 3 == 1 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
+
+    def rho(i, j):
+        both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+        ranks = [[sum(w < v for w in col) + (col.count(v) + 1) / 2 for v in col] for col in zip(*both)]
+        if not ranks:
+            return None
+        x, y = ([v - sum(r) / len(r) for v in r] for r in ranks)
+        return sum(p * q for p, q in zip(x, y)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    got = {(r.a, r.b): r.r for r in rank_correlations(df, ["a", "b", "c", "d"], "id").collect()}
+    assert len(got) == 6 and got["c", "d"] is None
+    for (a, b), r in got.items():
+        if (a, b) != ("c", "d"):
+            assert abs(r - rho("iabcd".index(a), "iabcd".index(b))) < 1e-9
