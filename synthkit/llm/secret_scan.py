@@ -3,8 +3,10 @@
 Base kinds (leftmost, non-overlapping per kind): ``assign`` (a keyword, a separator and a value of 6 or
 more characters), ``access`` (``AKIA`` and capitals or digits, 20 or more), ``hex`` (24 or more).
 
-The battery looks at runs of ``[A-Za-z0-9+/_=-]`` of 16 or more characters with a letter and a digit.
-The encoding is inferred as the smallest alphabet that holds the run (hex, base32, base36, base62,
+The battery looks at runs of ``[A-Za-z0-9+/_-]`` of 16 or more characters with the padding behind them, and
+at their parts of 16 or more between any of ``/``, ``_`` and ``-`` (a token may be joined to a label or a
+path).  Of picked runs that lie within each other the longest is the span.  The encoding is inferred as the
+smallest alphabet that holds the run (digits, hex, letters of one case, base32, base36, letters, base62,
 base64, url-safe base64).  Three tests ask whether the symbols could be random: chi-squared uniformity
 over the alphabet, runs above and below the alphabet's middle, and lag-1 serial correlation; a run that
 fails one (Bonferroni over the three) is no secret.  The p-value is that of text: how often symbols of
@@ -36,15 +38,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # greedy: the same as AKIA[A-Z0-9]+ of 20 or more
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "api")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")  # "=" is padding at the end only
+#: Cuts of a run into parts: at each choice of the three joining symbols.
+_PARTS = tuple((cut, re.compile(f"[^{cut}]{{16,}}")) for cut in ("/", "_", "\\-", "/_", "/\\-", "_\\-", "/_\\-"))
 
 #: Alphabets in the order of inference; the last two are equal but for two symbols.
 ALPHABETS = tuple((name, symbols) for name, symbols in (
-    ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"),
-    ("base32", string.ascii_uppercase + "234567"),
+    ("digits", string.digits), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"),
+    ("lower", string.ascii_lowercase), ("upper", string.ascii_uppercase), ("base32", string.ascii_uppercase + "234567"),
     ("base36", string.digits + string.ascii_lowercase), ("BASE36", string.digits + string.ascii_uppercase),
-    ("base62", string.digits + string.ascii_letters),
+    ("letters", string.ascii_letters), ("base62", string.digits + string.ascii_letters),
     ("base64", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"),
     ("base64url", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_")))
 _TABLES = [(name, len(s), {c: i for i, c in enumerate(s)}) for name, s in ALPHABETS]
@@ -131,19 +134,29 @@ def battery(symbols: np.ndarray, k: int) -> tuple[bool, float]:
     return 3 * min(p_uniform, p_runs, p_serial) >= ALPHA, p_text
 
 
+def candidates(word: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs of a word and of their parts, each once."""
+    out = {}
+    for m in _RUN.finditer(word):
+        out[m.span()] = None
+        if not m[0].isalnum():
+            for cut, part in _PARTS:
+                if any(c in m[0] for c in cut):
+                    out.update(dict.fromkeys(x.span() for x in part.finditer(word, *m.span())))
+    return list(out)
+
+
 def random_runs(text: str) -> list[dict]:
     out = []
     for start, word in _long_words(text, 16):
-        if word.isalpha():
-            continue
-        for m in _RUN.finditer(word):
-            if not _MIXED.match(m[0]) or (found := infer_encoding(m[0])) is None or len(found[2]) < 16:
+        for a, b in candidates(word):
+            if (found := infer_encoding(word[a:b])) is None or len(found[2]) < 16:
                 continue
             name, k, symbols = found
             random, p = battery(symbols, k)
             level = min(_TOP, -math.log10(max(p, 1e-300)))
-            out.append({"start": start + m.start(), "end": start + m.end(), "encoding": name, "random": random,
-                        "band": sum(len(symbols) >= b for b in BANDS), "bin": int(level / _STEP)})
+            out.append({"start": start + a, "end": start + b, "encoding": name, "random": random,
+                        "band": sum(len(symbols) >= n for n in BANDS), "bin": int(level / _STEP)})
     return out
 
 
@@ -166,8 +179,10 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     found = materialize(scan(docs, [T.StructField(base, _BASE), T.StructField(runs, _RUNS)], text_col, find, keep), "secrets")
     least = thresholds(found.select(F.inline(runs)), q)
     picked = F.expr(f"filter(`{runs}`, x -> x.random AND ({_condition(least)}) AND NOT exists(`{base}`, b -> b.start < x.end AND x.start < b.end))")
-    extra = F.transform(picked, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
-    return found.select(*[F.col(f"`{c}`") for c in keep], F.col(base), F.array_sort(F.concat(F.col(base), extra)).alias(spans))
+    widest = F.expr(f"filter(`{runs}`, x -> NOT exists(`{runs}`, y -> y.start <= x.start AND y.end >= x.end AND y.end - y.start > x.end - x.start))")
+    extra = F.transform(widest, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    return found.withColumn(runs, picked).select(*[F.col(f"`{c}`") for c in keep], F.col(base),
+                                                 F.array_sort(F.concat(F.col(base), extra)).alias(spans))
 
 
 def _condition(least: dict[int, int]) -> str:

@@ -113,6 +113,27 @@ def test_battery_finds_random_runs_and_controls_false_discoveries(spark):
     assert (name, k) == ("hex", 16) and not secret_scan.battery(symbols, k)[0]
 
 
+def test_tokens_behind_labels_and_in_paths(spark):
+    rng = np.random.default_rng(4)
+
+    def token(symbols, n):
+        return "".join(rng.choice(list(symbols), n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "auth={}", "https://example.com/a?sig={}&x=1", "path/to/the-file_of/{}", "sk_live-{}",
+             "my-key_of/the+site/{}", "{}", "{}=="]
+    tokens = [(form, token(b64[:52] if i % 5 == 0 else b64, 40)) for i, form in enumerate(forms * 10)]
+    plain = ["configuration_of_the_server_1", "internationalisation", "path/to/the-files_of/the-configuration"] * 20
+    docs = spark.createDataFrame([(i, f"x {f.format(t)} y") for i, (f, t) in enumerate(tokens)] +
+                                 [(1000 + i, f"x {t} y") for i, t in enumerate(plain)], "doc_id int, text string")
+    got = {r.doc_id: r for r in secret_scan.redact(docs, length_col=None).collect()}
+    assert not [i for i in got if i >= 1000 and "[SECRET]" in got[i].text]
+    for form in forms:
+        lost = [i for i, (f, t) in enumerate(tokens) if f == form and t in got[i].text]
+        assert len(lost) <= 1, form
+    assert secret_scan.candidates("auth=" + "a" * 16 + "==") == [(5, 23)]
+    assert {"a" * 16, "b" * 16} <= {("a" * 16 + "/x-" + "b" * 16)[i:j] for i, j in secret_scan.candidates("a" * 16 + "/x-" + "b" * 16)}
+
+
 PRIVATE = ["call +1 (017) 555-7713 now 4785380592391139 or 4111 1111 1111 1111, and 4111111111111111.",
            "mail und.34@mail7.example.com! ip 97.51.17.173. 2024-02-30 2024-02-29 29.02.2024 02/29/2024 1.2.3.4.5 300.1.1.1",
            "DE89370400440532013000 DE89370400440532013001 GB82WEST12345698765432 078-05-1120 000-12-3456"]
