@@ -9,11 +9,13 @@ path).  Of picked runs that lie within each other the longest is the span.  The
 smallest alphabet that holds the run (digits, hex, letters of one case, base32, base36, letters, base62,
 base64, url-safe base64).  Three tests ask whether the symbols could be random: chi-squared uniformity
 over the alphabet, runs above and below the alphabet's middle, and lag-1 serial correlation; a run that
-fails one (Bonferroni over the three) is no secret.  The p-value is that of text: how often symbols of
-text-like concentration would come out as uniform as these, given the length (a noncentral chi-squared;
-a short run can hardly get a small p-value).  Benjamini-Hochberg at rate ``q`` then runs over all runs of
-the corpus, apart for each band of lengths, on a histogram of p-values, so nothing is collected but
-(bands x bins) counts.  What passes is a span of kind ``random``, unless a base span overlaps it.
+fails one (Bonferroni over the three) is no secret.  The p-value is that of natural text: its likelihood as
+a chain of the encoding's symbols, each after the one before it, over its likelihood as uniform symbols of the encoding (at
+most p of natural runs come below p, whatever the length or alphabet).  The chain is measured on all shorter
+words of the corpus, with a fixed one for rare contexts.  Benjamini-Hochberg at rate ``q`` then runs over all
+candidates, apart for each encoding and band of lengths, on a histogram of p-values, so nothing is collected
+but the pairs of symbols and (encodings x bands x bins) counts.  What passes is a span of kind ``random``,
+unless a base span overlaps it.
 
 Defined results: null and empty texts have no spans; every row is scanned for itself (repeated rows
 and ids do not matter); an empty table gives an empty result.
@@ -52,7 +54,17 @@ ALPHABETS = tuple((name, symbols) for name, symbols in (
     ("base64url", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_")))
 _TABLES = [(name, len(s), {c: i for i, c in enumerate(s)}) for name, s in ALPHABETS]
 
-TEXT_COINCIDENCE = 0.065  # chance that two letters of a natural text are equal; at least twice that of the alphabet
+_ORDER = string.ascii_lowercase + string.ascii_uppercase + string.digits + "-_/+"  # symbols of the chain
+_PLACE = {c: i for i, c in enumerate(_ORDER, 1)}  # 0 stands for the beginning of a word
+_CODES = np.zeros(256, np.uint8)
+_CODES[np.frombuffer(_ORDER.encode(), np.uint8)] = np.arange(1, len(_ORDER) + 1)
+#: The fixed chain: from class to class (lower, upper, digit, joint) after the beginning or a class, and shares within them.
+_LETTERS = np.array([8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.5, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.3, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.4, 2.0, 0.4])
+_NEXT = np.array([[.70, .20, .09, .01], [.93, .01, .02, .04], [.55, .40, .02, .03], [.03, .02, .85, .10], [.60, .20, .18, .02]])
+_SHARES = [_LETTERS / _LETTERS.sum(), _LETTERS / _LETTERS.sum(), np.full(10, 0.1), np.array([0.4, 0.35, 0.2, 0.05])]
+_CLASS = np.repeat([1, 2, 3, 4], [26, 26, 10, 4])
+_FIXED = np.stack([np.concatenate([n * s for n, s in zip(_NEXT[c], _SHARES)]) for c in (0, *_CLASS)])
+_WEIGHT = 100.0  # pairs that the fixed chain counts for in each context
 BANDS = (24, 32, 48, 96)  # lengths from which a new band of false-discovery control starts
 ALPHA = 0.001  # level of the three randomness tests together
 Q = 0.01  # false-discovery rate
@@ -107,7 +119,7 @@ def infer_encoding(run: str) -> tuple[str, int, np.ndarray] | None:
 
 
 def battery(symbols: np.ndarray, k: int) -> tuple[bool, float]:
-    """(passes as random, p-value of text-like symbols) of a run over an alphabet of ``k``."""
+    """(passes as random, least p-value of the three tests) of a run over an alphabet of ``k``."""
     n = len(symbols)
     counts = np.bincount(symbols, minlength=k)
     chi = k / n * float((counts.astype(float) ** 2).sum()) - n
@@ -128,10 +140,51 @@ def battery(symbols: np.ndarray, k: int) -> tuple[bool, float]:
     power = float((centred ** 2).sum())
     serial = float((centred[1:] * centred[:-1]).sum()) / power if power else 1.0
     p_serial = 2 * _upper_tail(abs(serial + 1 / n) * math.sqrt(n))
-    share = max(TEXT_COINCIDENCE, 2 / k)
-    shift = n * (k * share - 1)  # noncentrality: a text's symbols bunch together, the more the longer it is
-    p_text = _upper_tail((df + shift - chi) / math.sqrt(2 * (df + 2 * shift)))
-    return 3 * min(p_uniform, p_runs, p_serial) >= ALPHA, p_text
+    least = min(p_uniform, p_runs, p_serial)
+    return 3 * least >= ALPHA, least
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """How often each symbol follows another (or begins) in the words and word parts of under 16 symbols."""
+    side = len(_ORDER) + 1
+    out = np.zeros(side * side, np.int64)
+    for i in range(0, len(texts), 64):
+        codes = _CODES[np.frombuffer(("\n" + "\n".join(texts[i:i + 64]) + "\n").encode("utf-8", "replace"), np.uint8)]
+        ends = np.flatnonzero(codes == 0)
+        long = np.flatnonzero(np.diff(ends) > 16)
+        codes = codes.astype(np.int32)
+        pairs = np.where(codes[1:] > 0, codes[:-1] * side + codes[1:], 0)
+        for a, b in zip(ends[long].tolist(), ends[long + 1].tolist()):
+            pairs[a:b] = 0
+        out += np.bincount(pairs, minlength=side * side)
+    out[0] = 0
+    return out
+
+
+def natural_chains(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndarray]:
+    """Encoding -> log10 of the chance of each symbol after each (row 0: at the beginning) among the encoding's,
+    measured over the whole corpus."""
+    side = len(_ORDER) + 1
+
+    def count(batches):
+        for b in batches:
+            n = pair_counts([t for t in b.column(0).to_pylist() if t])
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["pair", "pairs"])
+
+    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "pair int, pairs bigint")
+    table = np.zeros(side * side)
+    for r in found.groupBy("pair").agg(F.sum("pairs").alias("n")).collect():  # at most one row per pair of symbols
+        table[r["pair"]] = r["n"]
+    table = table.reshape(side, side)[:, 1:]
+    chance = (table + _WEIGHT * _FIXED) / (table.sum(axis=1, keepdims=True) + _WEIGHT)
+    return {name: np.log10(chance / chance[:, [_PLACE[c] - 1 for c in symbols]].sum(axis=1, keepdims=True)) for name, symbols in ALPHABETS}
+
+
+def natural_level(run: str, k: int, chain: np.ndarray) -> float:
+    """-log10 of the p-value of a run over an alphabet of ``k`` with the chain of its encoding (0 at least)."""
+    at = np.array([_PLACE[c] for c in run.rstrip("=")])
+    return max(0.0, -float(chain[np.append(0, at[:-1]), at - 1].sum()) - len(at) * math.log10(k))
 
 
 def candidates(word: str) -> list[tuple[int, int]]:
@@ -146,16 +199,15 @@ def candidates(word: str) -> list[tuple[int, int]]:
     return list(out)
 
 
-def random_runs(text: str) -> list[dict]:
+def random_runs(text: str, chains: dict[str, np.ndarray]) -> list[dict]:
     out = []
     for start, word in _long_words(text, 16):
         for a, b in candidates(word):
             if (found := infer_encoding(word[a:b])) is None or len(found[2]) < 16:
                 continue
             name, k, symbols = found
-            random, p = battery(symbols, k)
-            level = min(_TOP, -math.log10(max(p, 1e-300)))
-            out.append({"start": start + a, "end": start + b, "encoding": name, "random": random,
+            level = min(_TOP, natural_level(word[a:b], k, chains[name]))
+            out.append({"start": start + a, "end": start + b, "encoding": name, "random": battery(symbols, k)[0],
                         "band": sum(len(symbols) >= n for n in BANDS), "bin": int(level / _STEP)})
     return out
 
@@ -163,18 +215,19 @@ def random_runs(text: str) -> list[dict]:
 def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, q: float = Q) -> DataFrame:
     """The ``keep`` columns (all by default) plus ``base`` and ``spans``: sorted structs (start, kind, end).
 
-    One scan of the texts, written with its candidates to the shared folder; then the counts by
-    (band, bin) of all candidates give each band's threshold.
+    One scan of the texts for the natural chains; one for the candidates, written to the shared folder; then
+    the counts by (encoding, band, bin) of all candidates give the threshold of each encoding and band.
     """
     keep = docs.columns if keep is None else keep
     base, runs = free_name(docs, "base"), free_name(docs, "runs")
     spans = free_name(docs, "spans")
+    chains = natural_chains(docs, text_col)
 
     def find(column):
         texts = ["" if t is None else t for t in column.to_pylist()]
         found = [base_spans(t) for t in texts]
         return [pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in found], _BASE_ARROW),
-                pa.array([random_runs(t) for t in texts], _RUNS_ARROW)]
+                pa.array([random_runs(t, chains) for t in texts], _RUNS_ARROW)]
 
     found = materialize(scan(docs, [T.StructField(base, _BASE), T.StructField(runs, _RUNS)], text_col, find, keep), "secrets")
     least = thresholds(found.select(F.inline(runs)), q)
@@ -185,24 +238,24 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
                                                  F.array_sort(F.concat(F.col(base), extra)).alias(spans))
 
 
-def _condition(least: dict[int, int]) -> str:
-    return " OR ".join(f"(x.band = {b} AND x.bin >= {v})" for b, v in sorted(least.items())) or "false"
+def _condition(least: dict[tuple[str, int], int]) -> str:
+    return " OR ".join(f"(x.encoding = '{e}' AND x.band = {b} AND x.bin >= {v})" for (e, b), v in sorted(least.items())) or "false"
 
 
-def thresholds(runs: DataFrame, q: float = Q) -> dict[int, int]:
-    """Band -> smallest histogram bin of -log10 p that Benjamini-Hochberg still rejects at rate ``q``."""
-    counts: dict[int, dict[int, int]] = {}
-    for r in runs.groupBy("band", "bin").agg(F.count("*").alias("n")).collect():  # bands x bins rows at most
-        counts.setdefault(r["band"], {})[r["bin"]] = r["n"]
+def thresholds(runs: DataFrame, q: float = Q) -> dict[tuple[str, int], int]:
+    """(encoding, band) -> smallest histogram bin of -log10 p that Benjamini-Hochberg still rejects at rate ``q``."""
+    counts: dict[tuple[str, int], dict[int, int]] = {}
+    for r in runs.groupBy("encoding", "band", "bin").agg(F.count("*").alias("n")).collect():  # encodings x bands x bins rows at most
+        counts.setdefault((r["encoding"], r["band"]), {})[r["bin"]] = r["n"]
     out = {}
-    for band, by_bin in counts.items():
+    for group, by_bin in counts.items():
         total, above, best = sum(by_bin.values()), 0, None
         for b in sorted(by_bin, reverse=True):
             above += by_bin[b]
             if 10 ** (-b * _STEP) * total <= q * above:  # p of the bin's lower edge: on the safe side
                 best = b
         if best is not None:
-            out[band] = best
+            out[group] = best
     return out
 
 

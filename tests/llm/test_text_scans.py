@@ -134,6 +134,29 @@ def test_tokens_behind_labels_and_in_paths(spark):
     assert {"a" * 16, "b" * 16} <= {("a" * 16 + "/x-" + "b" * 16)[i:j] for i, j in secret_scan.candidates("a" * 16 + "/x-" + "b" * 16)}
 
 
+def test_short_keys_of_small_alphabets_among_many_plain_runs(spark, documents):
+    rng = np.random.default_rng(6)
+    alphabets = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+                 "base36": "0123456789abcdefghijklmnopqrstuvwxyz"}
+    planted = [(name, n, "".join(rng.choice(list(symbols), n))) for name, symbols in alphabets.items() for n in (16, 20, 23, 32) for _ in range(10)]
+    words = sorted({w for r in documents.limit(60).collect() for w in re.findall("[a-z]{3,12}", (r.text or "").lower())})
+    plain = []
+    for i in range(4000):
+        a, b, c = rng.choice(words, 3)
+        plain.append([f"{a}-{b}-{c}-{i}-and-more", f"{a}{b}{c}{i % 10}", f"IMG_2024{i % 12 + 1:02d}{i % 28 + 1:02d}_{i:06d}.{a}_{b}_{c}_final",
+                      f"{a.upper()}_{b.upper()}_{c.upper()}_MAX", f"20240{i % 9 + 1}{i % 28 + 1:02d}00000{i:07d}"][i % 5])
+    texts = [f"x {t} y" for _, _, t in planted] + [f"{' '.join(rng.choice(words, 6))} {t} y" for t in plain]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    found = {i for i, s in got.items() if s}
+    for name in alphabets:
+        for n in (16, 20, 23, 32):
+            some = [i for i, x in enumerate(planted) if x[:2] == (name, n)]
+            assert len(found & set(some)) >= (7 if n == 16 else 9), (name, n)
+    wrong = sorted(i for i in found if i >= len(planted))
+    assert len(wrong) <= 3, [texts[i] for i in wrong[:9]]
+
+
 PRIVATE = ["call +1 (017) 555-7713 now 4785380592391139 or 4111 1111 1111 1111, and 4111111111111111.",
            "mail und.34@mail7.example.com! ip 97.51.17.173. 2024-02-30 2024-02-29 29.02.2024 02/29/2024 1.2.3.4.5 300.1.1.1",
            "DE89370400440532013000 DE89370400440532013001 GB82WEST12345698765432 078-05-1120 000-12-3456"]
