@@ -51,7 +51,7 @@ FROM d LEFT JOIN covered USING (row) LEFT JOIN items USING (row)
 def op6_decontaminate(spark, sf_dir):
     from synthkit.llm.decontam import find_contamination
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), null_ids=True)
     items = F.transform("items", lambda x: x.cast("string"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),

@@ -6,8 +6,9 @@ the windows as a table of 64-bit hashes; a document's windows are hashed with nu
 every hit is verified word by word.
 
 Defined results: null or empty text has no words and no hits; an empty benchmark hits nothing;
-repeated rows are judged each for itself; items with equal windows are all reported; null item ids
-and null item texts give no window.
+repeated rows are judged each for itself; items with equal windows are all reported; null item texts
+give no window; null item ids give none either, or with ``null_ids`` (the query and the pipeline) windows that
+count as hits without a listed id, as in the SQL.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text",
-                      size: int = 10) -> DataFrame:
+                      size: int = 10, null_ids: bool = False) -> DataFrame:
     """Distinct (window, item): the normalised words joined by a space."""
     if not 1 <= size <= len(_MULT):
         raise ValueError(f"window size must be 1 to {len(_MULT)}")
-    src = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null")
+    src = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("binary").alias("text"))
+    src = src if null_ids else src.where("item is not null")
 
     def windows(column):
         out = []
@@ -57,7 +59,7 @@ class WindowSet:
     def __init__(self, rows):
         items: dict[tuple[bytes, ...], list] = {}
         for window, item in rows:
-            items.setdefault(tuple(window.split(b" ")), []).append(item)
+            items.setdefault(tuple(window.split(b" ")), []).extend([] if item is None else [item])
         self.vocabulary: dict[bytes, int] = {}
         by_length: dict[int, list] = {}
         for w in items:
@@ -111,7 +113,7 @@ def _slices(windows: DataFrame, limit: int):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                       bench_text_col: str = "text", size: int = 10, window_rows: int = WINDOW_ROWS) -> DataFrame:
+                       bench_text_col: str = "text", size: int = 10, window_rows: int = WINDOW_ROWS, null_ids: bool = False) -> DataFrame:
     """All columns of ``docs`` plus ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans`` of hit words.
 
     ``spans`` are code-point ranges, one for each run of hit words.  No shuffle of the documents: the
@@ -125,7 +127,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     out = docs.withColumn(hit, F.array().cast(ranges)).withColumn(items, F.array().cast(T.ArrayType(item_type)))
     kept = list(docs.columns)
     bundle = free_name(docs, "found")
-    slices = list(_slices(benchmark_windows(benchmark, item_col, bench_text_col, size), window_rows)) or [[]]
+    slices = list(_slices(benchmark_windows(benchmark, item_col, bench_text_col, size, null_ids), window_rows)) or [[]]
     for number, rows in enumerate(slices):
         shared = sc.broadcast(rows)
         last = number == len(slices) - 1
@@ -246,7 +248,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     ``mode="documents"`` removes a document whose share of hit words is above ``max_share`` (0: any
     hit); ``mode="spans"`` cuts the hit words out of the text (``length_col`` is updated if present).
     """
-    found = find_contamination(docs, benchmark, text_col=text_col, **options)
+    found = find_contamination(docs, benchmark, text_col=text_col, **{"null_ids": True, **options})
     n_words, n_hit, _, spans = found.columns[len(docs.columns):]
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if mode == "documents":

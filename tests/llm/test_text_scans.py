@@ -60,6 +60,22 @@ def test_contamination_edges(spark, edge, nothing):
     assert cut[6] == "" and cut[5] == "one" and cut[1] is None
 
 
+def test_null_item_ids_count_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from synthkit.llm.catalog import OP6_SQL
+    docs = [(1, "one two"), (2, "x three four y"), (3, "five"), (4, "one two three four")]
+    bench = [(None, "one two"), (7, "three four"), (None, "three four")]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)").executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    db.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)").executemany("INSERT INTO benchmark VALUES (?, ?)", bench)
+    want = {r[0]: (r[1], r[2], r[5]) for r in db.execute(OP6_SQL).fetchall()}
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = decontam.find_contamination(docs, bench, null_ids=True).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_hit > 0) for r in got} == want
+    assert {r.doc_id: r["items"] for r in got} == {1: [], 2: [7], 3: [], 4: [7]}
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [3]
+
+
 def test_spans_are_code_points(spark):
     docs = spark.createDataFrame([(1, "éé 🙂 One-TWO, xx"), (2, "two one two")], "doc_id int, text string")
     bench = spark.createDataFrame([(1, "one two")], "item_id int, text string")
