@@ -14,6 +14,7 @@ count as hits without a listed id, as in the SQL.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthkit.llm.common import free_name, scan
+from synthkit.llm.common import free_name, materialize, scan
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 WINDOW_ROWS = 400_000  # windows (of some 100 bytes) broadcast at a time; more are handled in further slices
@@ -102,37 +103,44 @@ class WindowSet:
         return hits
 
 
-def _slices(windows: DataFrame, limit: int):
-    """Rows of the benchmark's windows, ``limit`` at a time (about, by hash)."""
-    total = windows.count()
-    k = max(1, -(-total // limit))
-    part = F.pmod(F.xxhash64("window", "item"), F.lit(k))
-    for i in range(k):
-        rows = windows.where(part == i) if k > 1 else windows
-        yield [(bytes(r["window"]), r["item"]) for r in rows.collect()]
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                        bench_text_col: str = "text", size: int = 10, window_rows: int = WINDOW_ROWS, null_ids: bool = False) -> DataFrame:
     """All columns of ``docs`` plus ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans`` of hit words.
 
-    ``spans`` are code-point ranges, one for each run of hit words.  No shuffle of the documents: the
-    benchmark's windows are broadcast in slices of at most about ``window_rows``, and each slice adds
-    its hits to what the slices before it found.
+    ``spans`` are code-point ranges, one for each run of hit words.  Up to ``window_rows`` windows are broadcast
+    and the documents are not shuffled.  Of more windows, the driver and the workers hold one slice (of about so
+    many, by hash) at a time: its hits are written to the shared folder by row number, the slice is released,
+    and the hits of all slices are joined to the documents.
     """
     sc = docs.sparkSession.sparkContext
     item_type = benchmark.schema[item_col].dataType
     hit, items = free_name(docs, "hit_words"), free_name(docs, "hit_items")
     ranges = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
-    out = docs.withColumn(hit, F.array().cast(ranges)).withColumn(items, F.array().cast(T.ArrayType(item_type)))
     kept = list(docs.columns)
-    bundle = free_name(docs, "found")
-    slices = list(_slices(benchmark_windows(benchmark, item_col, bench_text_col, size, null_ids), window_rows)) or [[]]
-    for number, rows in enumerate(slices):
-        shared = sc.broadcast(rows)
-        last = number == len(slices) - 1
-        out = _add_slice(out, text_col, hit, items, bundle, shared, ranges, item_type, kept, last)
-    return out
+    bundle, row = free_name(docs, "found"), free_name(docs, "row")
+
+    def none(df):
+        return df.withColumn(hit, F.array().cast(ranges)).withColumn(items, F.array().cast(T.ArrayType(item_type)))
+
+    windows = materialize(benchmark_windows(benchmark, item_col, bench_text_col, size, null_ids), "windows")
+    n_slices = max(1, -(-windows.count() // window_rows))
+    if n_slices == 1:
+        return _add_slice(none(docs), text_col, hit, items, bundle, sc.broadcast(_collected(windows)), ranges, item_type, kept, True)
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    part, hits = F.pmod(F.xxhash64("window", "item"), F.lit(n_slices)), []
+    for i in range(n_slices):
+        shared = sc.broadcast(_collected(windows.where(part == i)))
+        some = _add_slice(none(docs.select(row, F.col(f"`{text_col}`"))), text_col, hit, items, bundle, shared, ranges, item_type, [row], False)
+        hits.append(materialize(some.where(F.size(hit) > 0), "hits"))
+        shared.destroy()
+    found = reduce(DataFrame.unionByName, hits).groupBy(row).agg(
+        F.flatten(F.collect_list(hit)).alias(hit), F.array_distinct(F.flatten(F.collect_list(items))).alias(items))
+    out = docs.join(found, row, "left")
+    return _add_slice(out, text_col, hit, items, bundle, sc.broadcast([]), ranges, item_type, kept, True)
+
+
+def _collected(windows: DataFrame) -> list[tuple[bytes, object]]:
+    return [(bytes(r["window"]), r["item"]) for r in windows.collect()]
 
 
 _SETS: dict[int, WindowSet] = {}

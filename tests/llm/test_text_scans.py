@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
 from synthkit.llm import decontam, pseudonyms, secret_scan, toxicity
@@ -60,6 +61,29 @@ def test_contamination_edges(spark, edge, nothing):
     assert cut[6] == "" and cut[5] == "one" and cut[1] is None
 
 
+def test_one_slice_of_windows_at_a_time(spark, documents, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = decontam.find_contamination(documents, bench)
+    held, most = [0], [0]
+    make, drop = type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def broadcast(sc, value):
+        held[0] += bool(value)
+        most[0] = max(most[0], held[0])
+        return make(sc, value)
+
+    def destroy(shared, *a):
+        held[0] -= 1
+        drop(shared, *a)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    both = documents.union(documents.limit(5))  # repeated rows stay apart
+    sliced = decontam.find_contamination(both, bench, window_rows=300)
+    assert most == [1] and held == [0]
+    assert sliced.columns == whole.columns and sliced.count() == both.count()
+    assert sorted(map(str, sliced.distinct().collect())) == sorted(map(str, whole.distinct().collect()))
+
+
 def test_null_item_ids_count_as_in_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from synthkit.llm.catalog import OP6_SQL
