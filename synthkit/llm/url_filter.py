@@ -111,11 +111,11 @@ class UrlModel:
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", most: int = MOST_LABELLED,
           trees: int = 10, depth: int = 3, seed: int = 1) -> UrlModel:
-    """Fit the trees on a bounded sample of labelled urls (label 1: block, 0: allow)."""
+    """Fit the trees on a bounded sample of distinct labelled urls (label 1: block, 0: allow)."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     url = F.col(url_col)
-    sample = labelled.select(url.alias("_url"), F.col(label_col).cast("double").alias("_label")).where("_label IN (0, 1)")
+    sample = labelled.select(url.alias("_url"), F.col(label_col).cast("double").alias("_label")).where("_label IN (0, 1)").distinct()
     sample = sample.orderBy(F.xxhash64("_url"), "_url", "_label").limit(most)
     sample = materialize(sample.select("_url", "_label", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path")), "labelled")
     n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()

@@ -265,3 +265,12 @@ def test_url_trees_learn(spark):
     model = url_filter.train(labelled)
     got = url_filter.judge(spark.createDataFrame(rows[400:], "url string, label int"), {}, model).collect()
     assert np.mean([(r.verdict == "block") == bool(r.label) for r in got]) > 0.95
+
+
+def test_copies_of_a_hot_url_do_not_fill_the_training_sample(spark):
+    from synthkit.llm import url_filter
+    rows = spark.createDataFrame([(f"https://{'spam' if i % 2 else 'good'}{i}.example.com/p", i % 2) for i in range(100)], "url string, label int")
+    hot = rows.orderBy(F.xxhash64("url")).limit(1).crossJoin(spark.range(60)).drop("id")
+    model = url_filter.train(rows.union(hot), most=40)
+    assert model.model is not None and 0.2 < model.overall < 0.8
+    assert model.overall == url_filter.train(rows, most=40).overall
