@@ -153,3 +153,75 @@ def op2_toxicity(spark, sf_dir):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
                          (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), "toxic")
+
+
+OP11_SQL = r"""
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))),
+d AS (SELECT row_number() OVER () AS row, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dw AS (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(w) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*) AS n FROM (
+          SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark) GROUP BY ALL),
+vocabulary AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+bucketed AS MATERIALIZED (SELECT word, xor(list_reduce(list_transform(range(length(x) // 2), lambda j: CAST('0x' || substr(x, CAST(2 * j + 1 AS INT), 2) AS BIGINT)),
+                                          lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+             FROM vocabulary, tab),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN bucketed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM bw JOIN bucketed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) AS DOUBLE)
+                                        / CAST((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000) AS DOUBLE))) AS gain
+         FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT row, floor(sum(dw.n * gain) / sum(dw.n)) AS weight FROM dw JOIN bucketed USING (word) JOIN gain USING (bucket) GROUP BY row),
+scored AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+           FROM d LEFT JOIN weights USING (row)),
+ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (row)
+"""
+
+
+@register("op11_resample", OP11_SQL)
+def op11_resample(spark, sf_dir):
+    from synthkit.llm.resampling import importance_resample
+    drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_OP12_NEAREST = """
+near{i} AS MATERIALIZED (SELECT row, p, min_by(e, d * 256 + e) AS e, min(d) AS d FROM (
+    SELECT row, p, e, list_dot_product(x, x) + list_dot_product(y, y) - 2 * list_dot_product(x, y) AS d FROM part JOIN book{i} USING (p)) GROUP BY row, p)"""
+
+_OP12_ROUND = """
+sums{i} AS (SELECT p, e, k, floor(sum(x[k]) / count(*)) AS m
+            FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS k FROM near{i} JOIN part USING (row, p)) GROUP BY p, e, k),
+book{j} AS MATERIALIZED (SELECT p, e, coalesce(m, y) AS y FROM book{i} LEFT JOIN (SELECT p, e, list(m ORDER BY k) AS m FROM sums{i} GROUP BY p, e) USING (p, e))"""
+
+OP12_SQL = """
+WITH kept AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda v: floor(1024 * CAST(v AS DOUBLE))) AS v, embedding
+              FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda v: v IS NOT NULL AND isfinite(v)))),
+part AS MATERIALIZED (SELECT row, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(4) AS r(p)),
+book0 AS MATERIALIZED (SELECT p, e, x AS y FROM part JOIN (
+    SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS e FROM kept QUALIFY e < 256) USING (row)),
+""" + ",".join(_OP12_NEAREST.format(i=i) + "," + _OP12_ROUND.format(i=i, j=i + 1) for i in range(4)) + "," + _OP12_NEAREST.format(i=4) + """,
+coded AS (SELECT vec_id, label, code, error FROM kept JOIN (
+    SELECT row, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near4 GROUP BY row) USING (row))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) FROM book4) AS codebooks_sha256
+FROM coded
+"""
+
+
+@register("op12_vector_codes", OP12_SQL)
+def op12_vector_codes(spark, sf_dir):
+    from synthkit.llm.vector_codes import encode_vectors
+    return encode_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
+@register("op13_repeats")
+def op13_repeats(spark, sf_dir):
+    from synthkit.llm.repeats import remove_repeats
+    cut = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
