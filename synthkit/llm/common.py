@@ -42,13 +42,31 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+_TABLE: dict = {}
+
+
+def worker_table(key, make: Callable):
+    """The one large table that a Python worker keeps between tasks; asking for another drops it first."""
+    release(key)
+    if key not in _TABLE:
+        _TABLE[key] = make()
+    return _TABLE[key]
+
+
+def release(but=None):
+    """Drop the worker's table unless its key is ``but``."""
+    if but not in _TABLE:
+        _TABLE.clear()
+
+
 def scan(df: DataFrame, fields: Iterable[T.StructField], column: str,
-         fn: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
+         fn: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None, table=None) -> DataFrame:
     """Add columns computed from one column, an Arrow batch at a time; no shuffle.
 
     ``keep`` names the input columns that pass through untouched (all by default).  ``fn`` gets the
     column of a batch and returns one array per field.  Each row is handled by itself, so repeated
-    ids and lost executors do not matter.
+    ids and lost executors do not matter.  ``table`` is the key under which ``fn`` keeps its ``worker_table``;
+    what an earlier step left in a reused worker is dropped.
     """
     keep = df.columns if keep is None else keep
     cols = keep if column in keep else [*keep, column]
@@ -58,6 +76,7 @@ def scan(df: DataFrame, fields: Iterable[T.StructField], column: str,
     n, at, names = len(keep), cols.index(column), schema.names
 
     def run(batches):
+        release(table)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *fn(b.column(at))], names=names)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthkit.llm.common import free_name, materialize, scan
+from synthkit.llm.common import free_name, materialize, scan, worker_table
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 WINDOW_ROWS = 400_000  # windows (of some 100 bytes) broadcast at a time; more are handled in further slices
@@ -143,21 +143,15 @@ def _collected(windows: DataFrame) -> list[tuple[bytes, object]]:
     return [(bytes(r["window"]), r["item"]) for r in windows.collect()]
 
 
-_SETS: dict[int, WindowSet] = {}
-
-
 def _set_of(shared) -> WindowSet:
-    if shared.id not in _SETS:
-        _SETS.clear()
-        _SETS[shared.id] = WindowSet(shared.value)
-    return _SETS[shared.id]
+    return worker_table(shared.id, lambda: WindowSet(shared.value))
 
 
 class _Shared:
     """A broadcast with the key under which its table is kept in a worker."""
 
     def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
+        self.broadcast, self.id = broadcast, ("windows", broadcast._jbroadcast.id())
 
     def __getstate__(self):
         return self.broadcast, self.id
@@ -211,7 +205,7 @@ def _add_slice(df, text_col, hit, items, bundle, broadcast, ranges, item_type, k
         return out
 
     names = {c: f"`{c}`" for c in kept}
-    done = scan(df.select(*names.values(), bundle), _free(fields, kept), bundle, add, keep=kept)
+    done = scan(df.select(*names.values(), bundle), _free(fields, kept), bundle, add, keep=kept, table=shared.id)
     got = done.columns[len(kept):]
     if not last:
         return done.withColumnsRenamed({got[0]: hit, got[1]: items})

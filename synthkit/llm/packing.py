@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append(row)
         return [pa.array(out, arrow)]
 
-    found = scan(src, [T.StructField("pieces", T.ArrayType(kind))], "text", pieces, keep=["doc_id"])
+    found = scan(src, [T.StructField("pieces", T.ArrayType(kind))], "text", pieces, keep=["doc_id"], table=("encoder", tokenizer))
     return found.select("doc_id", F.inline("pieces"))
 
 

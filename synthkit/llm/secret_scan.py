@@ -26,6 +26,8 @@ from __future__ import annotations
 import math
 import re
 import string
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -231,15 +233,29 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
     found = materialize(scan(docs, [T.StructField(base, _BASE), T.StructField(runs, _RUNS)], text_col, find, keep), "secrets")
     least = thresholds(found.select(F.inline(runs)), q)
-    picked = F.expr(f"filter(`{runs}`, x -> x.random AND ({_condition(least)}) AND NOT exists(`{base}`, b -> b.start < x.end AND x.start < b.end))")
-    widest = F.expr(f"filter(`{runs}`, x -> NOT exists(`{runs}`, y -> y.start <= x.start AND y.end >= x.end AND y.end - y.start > x.end - x.start))")
-    extra = F.transform(widest, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
-    return found.withColumn(runs, picked).select(*[F.col(f"`{c}`") for c in keep], F.col(base),
-                                                 F.array_sort(F.concat(F.col(base), extra)).alias(spans))
-
-
-def _condition(least: dict[tuple[str, int], int]) -> str:
-    return " OR ".join(f"(x.encoding = '{e}' AND x.band = {b} AND x.bin >= {v})" for (e, b), v in sorted(least.items())) or "false"
+    both = free_name(found, "both")
+
+    def pick(column):
+        return [pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in merged_spans(x, y, least)]
+                          for x, y in zip(column.field(0).to_pylist(), column.field(1).to_pylist())], _BASE_ARROW)]
+
+    picked = found.withColumn(both, F.struct(F.col(base), F.col(runs)))
+    return scan(picked, [T.StructField(spans, _BASE)], both, pick, keep=[*keep, base])
+
+
+def merged_spans(base: list[dict], runs: list[dict], least: dict[tuple[str, int], int]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base spans and of the runs that pass, sorted: of runs within others just the widest,
+    and none that overlaps a base span.  One pass over sorted spans."""
+    base = sorted((b["start"], b["kind"], b["end"]) for b in base or ())
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    out, top = [], -1
+    picked = [(r["start"], -r["end"]) for r in runs or () if r["random"] and r["bin"] >= least.get((r["encoding"], r["band"]), math.inf)]
+    for start, end in sorted(picked):
+        before = bisect_left(starts, -end)  # base spans that start before the run's end
+        if (not before or reach[before - 1] <= start) and -end > top:
+            out.append((start, len(KINDS) - 1, -end))
+            top = -end
+    return sorted(base + out)
 
 
 def thresholds(runs: DataFrame, q: float = Q) -> dict[tuple[str, int], int]:

@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from synthkit.llm.common import free_name, materialize, scan
 
 SEED = 42
+MOST_BROADCAST = 2_000_000  # row numbers, some 16 MB
 _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SHIFTS = np.arange(64, dtype=np.uint64)
@@ -227,34 +228,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2,
-                    blocks: int = 4, bucket: int = 2048, keep: list[str] | None = None) -> DataFrame:
+                    blocks: int = 4, bucket: int = 2048, keep: list[str] | None = None, root: str | None = None) -> DataFrame:
     """``doc_id``, ``fingerprint`` (bigint) and ``component_id`` of every row, plus the ``keep`` columns."""
     keep = keep or []
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in keep if c != id_col], F.col(f"`{text_col}`").alias(free_name(docs, "text_")))
     rows = materialize(with_fingerprint(src, src.columns[-1], size, keep=src.columns[:-1]), "fingerprints")
-    return assign_components(rows, radius, blocks, bucket)
+    return assign_components(rows, radius, blocks, bucket, root)
 
 
-def assign_components(rows: DataFrame, radius: int = 2, blocks: int = 4, bucket: int = 2048) -> DataFrame:
-    """Add ``component_id`` to a table with ``doc_id`` and ``fingerprint``."""
+def assign_components(rows: DataFrame, radius: int = 2, blocks: int = 4, bucket: int = 2048, root: str | None = None) -> DataFrame:
+    """Add ``component_id`` to a table with ``doc_id`` and ``fingerprint`` (and the component's smallest fingerprint as ``root``)."""
     prints = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
     roots = materialize(components(links(prints.select("fingerprint"), radius, blocks, bucket)), "roots")
     rooted = prints.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fingerprint", "component_id")
+    named = rooted.join(smallest, "root").select("fingerprint", "component_id", *([F.col("root").alias(root)] if root else []))
     return rows.join(named, "fingerprint")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component (the one of smallest id; of rows with that id, one), same columns.
 
-    Rows are numbered, so that of repeated rows just one stays.  Texts are not shuffled for the comparison;
-    the kept rows are found by a join with the numbers that stay.
+    Rows are numbered, so that of repeated rows just one stays.  Just the numbers of the rows that go are put
+    together: up to ``MOST_BROADCAST`` of them are broadcast, and no text is shuffled; more are joined.
     """
     row = free_name(docs, "row_")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    found = near_duplicates(numbered.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), row), id_col, text_col, keep=[row], **options)
+    found = near_duplicates(numbered.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), row), id_col, text_col, keep=[row], root="root", **options)
+    found = materialize(found.select("root", "doc_id", row), "components")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))
-    stay = found.groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x.r").alias(row))
-    return numbered.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = found.groupBy("root").agg(F.min(order).alias("x"), F.count("*").alias("n")).where("n > 1")
+    gone = materialize(found.join(several, "root").where(F.col(row) != F.col("x.r")).select(row), "gone")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

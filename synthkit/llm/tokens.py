@@ -15,7 +15,10 @@ from array import array
 
 import numpy as np
 
+from synthkit.llm.common import worker_table
+
 END_ID = 2
+LONGEST = 200  # characters of a part or piece that is kept; with the number of entries it bounds the tables' bytes
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
 #: A run of letters up to an ASCII non-letter or the end; else up to a space; else white space.
 _PART = re.compile(rf" ?[{_LETTERS}]+(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
@@ -87,9 +90,10 @@ class Encoder:
                     got = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
                 else:
                     got = self.whole(part)
-            if len(self._parts) >= self.max_entries:
-                self._old_parts, self._parts = self._parts, {}
-            self._parts[part] = got
+            if len(part) <= LONGEST:
+                if len(self._parts) >= self.max_entries:
+                    self._old_parts, self._parts = self._parts, {}
+                self._parts[part] = got
         return got
 
     def _piece(self, key: str) -> bytes | None:
@@ -104,9 +108,10 @@ class Encoder:
             got = None
         else:
             got = b"".join(map(self._part, _PART.findall(key if key[0] == "\n" else " " + key)))
-        if len(self._pieces) >= self.max_entries // 2:
-            self._old_pieces, self._pieces = self._pieces, {}
-        self._pieces[key] = got
+        if len(key) <= LONGEST:
+            if len(self._pieces) >= self.max_entries // 2:
+                self._old_pieces, self._pieces = self._pieces, {}
+            self._pieces[key] = got
         return got
 
     def encode(self, text: str) -> bytes:
@@ -128,11 +133,6 @@ class Encoder:
         return b"".join(map(self._part, _PART.findall(text)))
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
-    """One encoder per Python worker and file, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder per Python worker, kept between tasks of the same step."""
+    return worker_table(("encoder", path), lambda: Encoder(path))

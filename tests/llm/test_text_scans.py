@@ -1,6 +1,8 @@
 """Decontamination, secrets, pseudonyms and toxicity against plain Python."""
 
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -302,3 +304,29 @@ def test_toxicity_edges(spark, edge, nothing):
     nobody = toxicity.train(edge, labels.limit(0), lang_col=None)
     assert [r.toxicity for r in toxicity.score_texts(edge, nobody, lang_col=None).limit(1).collect()] == [0.0]
     assert toxicity.reject_toxic(edge.withColumn("lang", F.lit(None).cast("string")), labels.limit(0)).count() == 13
+
+
+def test_spans_are_merged_like_all_against_all():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randint(0, 14)
+        spans = {(a, a + rng.randint(1, 12)) for a in (rng.randrange(40) for _ in range(n))}
+        runs = [{"start": a, "end": b, "encoding": "hex", "band": 0, "random": rng.random() < 0.8, "bin": rng.randrange(4)} for a, b in spans]
+        base = [{"start": a, "kind": rng.randrange(3), "end": a + rng.randint(1, 6)} for a in (rng.randrange(40) for _ in range(rng.randint(0, 3)))]
+        pick = [r for r in runs if r["random"] and r["bin"] >= 2 and not any(b["start"] < r["end"] and r["start"] < b["end"] for b in base)]
+        widest = [r for r in pick if not any(y["start"] <= r["start"] and y["end"] >= r["end"] and y["end"] - y["start"] > r["end"] - r["start"] for y in pick)]
+        want = sorted([(b["start"], b["kind"], b["end"]) for b in base] + [(r["start"], 3, r["end"]) for r in widest])
+        assert secret_scan.merged_spans(base, runs, {("hex", 0): 2}) == want
+
+
+def test_a_text_of_very_many_runs_takes_linear_time(spark):
+    rng = random.Random(9)
+    runs = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(runs))], "doc_id long, text string")
+    begin = time.time()
+    found = secret_scan.scan_secrets(docs).collect()[0]
+    assert time.time() - begin < 60 and len(found.spans) > 90_000
+    begin = time.time()
+    listed = [{"start": s.start, "end": s.end, "encoding": "x", "band": 0, "random": True, "bin": 1} for s in found.spans if s.kind == 3]
+    assert len(secret_scan.merged_spans([{"start": s.start, "kind": s.kind, "end": s.end} for s in found.base], listed, {("x", 0): 1})) == len(found.spans)
+    assert time.time() - begin < 10
