@@ -75,3 +75,10 @@ def with_position(df: DataFrame, order_cols: list, name: str = "position", start
     return (srt.join(F.broadcast(offsets), _PID)
             .withColumn(name, F.col("_sk_off") + local + F.lit(start))
             .drop(_PID, _MID, "_sk_off"))
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The table written once to the shared folder and read back: lineage is cut and nothing is computed twice."""
+    path = scratch_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthkit.operators.ordering import with_running_sums
+from synthkit.operators.nearest import nearest, split_tree
+from synthkit.operators.ordering import with_running_sums, written
 from synthkit.operators.profile import _as_double, correlations, quantiles
 from synthkit.session import scratch_dir
 
@@ -445,42 +446,22 @@ def source_leak(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
     return b.join(a, cond, "left_semi").drop("_sk_h")
 
 
-def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str) -> DataFrame:
-    """Exact distance from each synthetic row to its closest source row (standardised columns).
+def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str, leaf: int = 32, with_compared: bool = False) -> DataFrame:
+    """Exact distance from each synthetic row to its closest source row (columns standardised by the source).
 
-    Grid cells over the first columns (three at most): each synthetic row
-    probes its own and the neighbouring cells by equi-join.  A hit at distance
-    ≤ cell is exact: whatever is nearer differs by less than a cell in each of
-    these columns too.  The first cell side follows the number of source rows
-    (about n^(-1/d)), so a cell holds about as many rows at every size; rows
-    without such a hit retry with the cell doubled until all are resolved.
-    Without source rows the result is empty.
+    Any number of columns and any density: a quantile split tree with leaves of up to ``leaf`` rows, searched by
+    branch and bound (:mod:`synthkit.operators.nearest`).  ``with_compared`` adds how many source rows each row
+    was compared with.  Rows with a null in some column take no part; without complete source rows the result
+    is empty.
     """
-    st = src.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias("m_" + c) for c in cols] + [F.stddev(c).alias("s_" + c) for c in cols]).first()
-    z = lambda df: [((F.col(c) - st["m_" + c]) / (st["s_" + c] or 1.0)).alias(c) for c in cols]
-    s = src.select(*z(src)).dropna().dropDuplicates()
-    q = syn.select(syn_key, *z(syn)).dropna()
-    import itertools
-    scratch_dir(src.sparkSession)  # makes sure a checkpoint dir is set
-    resolved = None
-    pending = q if st["_n"] else q.limit(0)
-    grid = cols[:3]
-    h = 4.0 * max(st["_n"], 1) ** (-1 / len(grid))
-    while True:
-        cell_of = lambda df: [F.floor(F.col(c) / h).cast("bigint").alias("g_" + c) for c in grid]
-        sc = s.select(*[F.col(c).alias("s_" + c) for c in cols], *cell_of(s))
-        offs = list(itertools.product((-1, 0, 1), repeat=len(grid)))
-        probe = pending.select(syn_key, *cols, *cell_of(pending)).withColumn(
-            "_o", F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offs])))
-        probe = probe.select(syn_key, *cols, *[(F.col("g_" + c) + F.col("_o")[i]).alias("g_" + c)
-                                               for i, c in enumerate(grid)])
-        j = probe.join(sc, ["g_" + c for c in grid])
-        d = F.sqrt(sum(((F.col(c) - F.col("s_" + c)) ** 2 for c in cols), F.lit(0.0)))
-        best = j.groupBy(syn_key).agg(F.min(d).alias("distance"))
-        ok = best.filter(F.col("distance") <= h)
-        ok = ok.checkpoint()  # cut lineage: each round builds on the last
-        resolved = ok if resolved is None else resolved.unionByName(ok)
-        pending = pending.join(ok.select(syn_key), syn_key, "left_anti").checkpoint()
-        if pending.limit(1).count() == 0:
-            return resolved
-        h *= 2
+    st = src.agg(*[F.avg(c).alias("m_" + c) for c in cols], *[F.stddev(c).alias("s_" + c) for c in cols]).first()
+    z = F.array(*[(F.col(c) - F.lit(st["m_" + c])) / F.lit(float(st["s_" + c] or 1.0)) for c in cols])
+    points = src.dropna(subset=cols).select(z.alias("x"))
+    out = [syn_key, "distance", *(["compared"] if with_compared else [])]
+    queries = syn.dropna(subset=cols).select(syn_key, z.alias("x"))
+    if points.isEmpty():
+        return queries.select(syn_key, F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("compared")).select(*out).limit(0)
+    levels, leaves = split_tree(points, len(cols), leaf)
+    queries = written(queries, "queries")
+    found = nearest(queries.select("x").distinct(), levels, leaves)
+    return queries.join(found, "x").select(*out)
