@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthkit.operators.ordering import with_position
+from synthkit.operators.conditions import Given
+from synthkit.operators.ordering import with_position, written
 from synthkit.operators.profile import _one_row_unpivot
 from synthkit.operators.synth import synthesize
 
@@ -55,35 +56,31 @@ def _first_n_by_id(df: DataFrame, n: int) -> DataFrame:
     return with_position(df, [F.col("id")], "_sk_pos").filter(F.col("_sk_pos") <= n).drop("_sk_pos")
 
 
-def reject_resample(spark: SparkSession, spec: dict, n: int, rules: list[dict], max_rounds: int = 6,
-                    pilot: int = 10000, max_candidates: int | None = None) -> tuple[DataFrame, dict]:
-    """Deliver ``n`` rows that pass every rule by generating extra candidates.
+def reject_resample(spark: SparkSession, spec: dict, n: int, rules: list[dict], pilot: int = 10000,
+                    max_candidates: int = 100_000_000) -> tuple[DataFrame, dict]:
+    """Deliver ``n`` rows that pass every rule, however rare they are.
 
-    Each round draws a fresh id range sized by the acceptance rate measured so
-    far (×1.2), so rows never repeat.  Stops after ``max_rounds`` or
-    ``max_candidates`` candidates and reports the shortfall (never pads,
-    never duplicates).  Returns (rows, report).
+    Bounds that the rules put on single columns are drawn inside (conditional
+    inverse sampling, :mod:`synthkit.operators.conditions`); what is left of
+    the rules is met by rejection.  Each round draws a fresh id range sized by
+    the acceptance so far (×1.2), or ten times the last one while nothing was
+    accepted; its accepted rows are written once.  It ends when the count is
+    met, when the bounds leave no value, or at the caller's ``max_candidates``,
+    and reports the shortfall (never pads, never duplicates).  Returns
+    (rows, report).
     """
     cond = reduce(lambda a, b: a & b, [_ok(r) for r in rules], F.lit(True))
-    start, accepted_parts, got, tried = 0, [], 0, 0
-    rate = None
-    for rnd in range(max_rounds):
-        need = n - got
-        if need <= 0:
-            break
-        m = pilot if rate is None else int(need / max(rate, 1e-6) * 1.2) + 100
-        if max_candidates is not None:
-            m = min(m, max_candidates - tried)
-        if m <= 0:
-            break
-        batch = synthesize(spark, spec, rows=m, start=start).filter(cond)
-        k = batch.count()
-        accepted_parts.append(batch)
-        got, tried, start = got + k, tried + m, start + m
-        rate = got / tried
-    allrows = reduce(lambda a, b: a.unionByName(b), accepted_parts)
+    given = Given(spec, " AND ".join(r["expr"] for r in rules))
+    parts, got, tried, m = [], 0, 0, pilot
+    while got < n and tried < max_candidates and given.chance > 0:
+        m = min(m, max_candidates - tried)
+        batch = written(synthesize(spark, spec, rows=m, start=tried, given=given).filter(cond), "accepted")
+        parts.append(batch)
+        got, tried = got + batch.count(), tried + m
+        m = int((n - got) * tried / got * 1.2) + 100 if got else tried * 10
+    allrows = reduce(DataFrame.unionByName, parts) if parts else synthesize(spark, spec, rows=0)
     out = _first_n_by_id(allrows, n) if got > n else allrows
-    report = {"requested": n, "generated": min(got, n), "candidates": tried,
+    report = {"requested": n, "generated": min(got, n), "candidates": tried, "chance": given.chance,
               "acceptance": (got / tried) if tried else 0.0, "shortfall": max(0, n - got)}
     return out, report
 
@@ -116,9 +113,9 @@ def synthesize_checked(spark: SparkSession, spec: dict) -> tuple[DataFrame, Data
 
 def edge_cases(spark: SparkSession, spec: dict, where: str, n: int, source: DataFrame | None = None, key: str | None = None,
                **kw) -> tuple[DataFrame, dict]:
-    """Rows meeting ``where`` (e.g. ``hba1c > 12 AND size(comorbidities) >= 3``), by rejection.
+    """Rows meeting ``where`` (e.g. ``hba1c > 12 AND size(comorbidities) >= 3``): :func:`reject_resample`.
 
-    With a ``source`` (and its unique ``key``), what rejection leaves short is
+    With a ``source`` (and its unique ``key``), what that leaves short is
     resampled from the source rows that meet ``where``.
     """
     rows, report = reject_resample(spark, spec, n, [{"name": "edge", "expr": where}], **kw)

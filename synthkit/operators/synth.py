@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthkit.functions.random import normal, normal_cdf, uniform, uuid_text
+from synthkit.operators.conditions import truncated_normal
 from synthkit.operators.ordering import with_position, with_running_sums
 
 ID = "id"
@@ -169,10 +170,13 @@ def latent_cholesky(names: list[str], corr: list[tuple[str, str, float]], spearm
 
 
 def correlated_normals(seed: int, names: list[str], chol: np.ndarray, mode: str = "md5",
-                       key: Column | None = None) -> dict[str, Column]:
-    """Latent z per column: z = L·e with independent hash normals e (pure Column arithmetic)."""
+                       key: Column | None = None, first: Column | None = None) -> dict[str, Column]:
+    """Latent z per column: z = L·e with independent hash normals e (pure Column arithmetic); ``first`` replaces the
+    first one."""
     key = key if key is not None else F.col(ID)
     e = [normal(seed, f"latent:{n}", key, mode) for n in names]
+    if first is not None:
+        e[0] = first
     out = {}
     for i, n in enumerate(names):
         expr = None
@@ -233,11 +237,12 @@ def column_expr(col: dict, seed: int, mode: str, z: Column | None = None) -> Col
 
 
 def synthesize(spark: SparkSession, spec: dict, rows: int | None = None, start: int = 0,
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, given=None) -> DataFrame:
     """Whole dataset from a spec: one narrow select over ``spark.range``.
 
     Columns listed in ``spec['corr']`` share a Gaussian copula (Cholesky of
-    the latent correlation); the others draw independent normals.
+    the latent correlation); the others draw independent normals.  ``given``
+    (:class:`synthkit.operators.conditions.Given`) draws bounded columns inside their bounds.
     """
     n = int(rows if rows is not None else spec["rows"])
     seed, mode = int(spec.get("seed", 0)), spec.get("mode", "md5")
@@ -245,12 +250,18 @@ def synthesize(spark: SparkSession, spec: dict, rows: int | None = None, start:
     corr = spec.get("corr") or []
     linked = sorted({c for a, b, _ in corr for c in (a, b)} & {c["name"] for c in cols})
     zs = {}
+    lead = None
+    if linked and given is not None and given.linked:
+        name, lo, hi = given.linked
+        linked = [name, *(n for n in linked if n != name)]
+        lead = truncated_normal(uniform(seed, f"given:{name}", F.col(ID), mode), lo, hi)
     if linked:
         chol = latent_cholesky(linked, corr, spearman=spec.get("corr_kind", "spearman") == "spearman")
-        zs = correlated_normals(seed, linked, chol, mode)
+        zs = correlated_normals(seed, linked, chol, mode, first=lead)
     base = spark.range(start, start + n, numPartitions=num_partitions) if num_partitions else \
         spark.range(start, start + n)
-    return base.select(F.col("id"), *[column_expr(c, seed, mode, zs.get(c["name"])) for c in cols])
+    drawn = given.columns if given is not None else {}
+    return base.select(F.col("id"), *[drawn[c["name"]] if c["name"] in drawn else column_expr(c, seed, mode, zs.get(c["name"])) for c in cols])
 
 
 def bootstrap(df: DataFrame, n: int, key: str, seed: int = 0, mode: str = "md5") -> DataFrame:
