@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthkit.functions.random import uniform
+from synthkit.operators.cross import pair_moments
 from synthkit.operators.ordering import with_running_sums
 
 _CHUNK = 100
@@ -390,19 +391,19 @@ def unique_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r for every column pair a < b in one scan → ``(a, b, r)``; rows with a null in a pair are left out of it.
+    """Pearson r for every column pair a < b → ``(a, b, r)``; rows with a null in a pair are left out of it.
 
-    A constant column has no correlation (null).
+    One scan whatever the number of columns: cross-product matrices by task, merged by column
+    (:mod:`synthkit.operators.cross`).  A constant column has no correlation (null).
     """
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _as_double(df, a).alias("x"), _as_double(df, b).alias("y"))
-             for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    long = df.select(F.explode(F.array(*pairs)).alias("_e")).select("_e.*")
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
-    sums = long.groupBy("a", "b").agg(F.covar_pop(x, y).alias("c"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("s"))
-    return sums.select("a", "b", F.when(F.col("s") > 0, F.col("c") / F.col("s")).alias("r"))
+    found = pair_moments(df, [_as_double(df, c) for c in cols])
+    each = F.posexplode(F.arrays_zip("prod", "dev", "dev_t")).alias("j", "e")
+    names = F.array(*[F.lit(c) for c in cols])
+    spread = F.sqrt(F.col("e.dev")) * F.sqrt(F.col("e.dev_t"))
+    return found.select("i", each).where("j > i").select(
+        F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), F.when(spread > 0, F.col("e.prod") / spread).alias("r"))
 
 
 def average_ranks(df: DataFrame, col: str) -> DataFrame:
