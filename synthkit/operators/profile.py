@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from synthkit.functions.random import uniform
 from synthkit.operators.cross import pair_moments
 from synthkit.operators.ordering import with_running_sums
+from synthkit.operators.ranks import rank_products
 
 _CHUNK = 100
 _AGGS_PER_PLAN = 24  # keep each aggregate's generated code small enough for whole-stage codegen
@@ -398,7 +399,11 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    found = pair_moments(df, [_as_double(df, c) for c in cols])
+    return _coefficients(pair_moments(df, [_as_double(df, c) for c in cols]), cols)
+
+
+def _coefficients(found: DataFrame, cols: list[str]) -> DataFrame:
+    """``(a, b, r)`` for a < b from rows of a matrix: products, and squares of both sides."""
     each = F.posexplode(F.arrays_zip("prod", "dev", "dev_t")).alias("j", "e")
     names = F.array(*[F.lit(c) for c in cols])
     spread = F.sqrt(F.col("e.dev")) * F.sqrt(F.col("e.dev_t"))
@@ -414,32 +419,19 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
     return cum.select("x", (F.col("cum") - (F.col("cnt") - 1) / 2.0).alias("rank"))
 
 
-def rank_correlations(df: DataFrame, cols: list[str], key: str) -> DataFrame:
+def rank_correlations(df: DataFrame, cols: list[str], key: str | None = None) -> DataFrame:
     """Spearman rho for every pair: Pearson of average ranks over the rows that have both columns of the pair.
 
-    Long form keyed by pair: one table of value counts with running sums by (pair, side) gives all ranks,
-    which are joined back on the value; AQE decides by size whether the rank table is broadcast, and splits
-    hot values otherwise.  A pair with a constant column or without complete rows has no correlation (null).
+    Each column is ranked once for each null pattern among its partners (:mod:`synthkit.operators.ranks`), so
+    columns without nulls are ranked once.  A pair with a constant column or without complete rows has no
+    correlation (null).  ``key`` is not needed any more.
     """
     names = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     pairs = df.sparkSession.createDataFrame(names, "a string, b string")
     if not names:
         return pairs.withColumn("r", F.lit(None).cast("double"))
-    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _as_double(df, a).alias("x"), _as_double(df, b).alias("y"))
-               for a, b in names]
-    long = df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*").where("x IS NOT NULL AND y IS NOT NULL")
-    counts = long.select("a", "b", F.explode(F.create_map(F.lit("x"), F.col("x"), F.lit("y"), F.col("y"))).alias("side", "v")) \
-        .groupBy("a", "b", "side", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = with_running_sums(counts, "v", {"cum": F.col("cnt")}, ["a", "b", "side"], total_prefix="all_")
-    # ranks from their mean, (n + 1) / 2
-    ranks = cum.select("a", "b", "side", "v", (F.col("cum") - (F.col("cnt") - 1) / 2.0 - (F.col("all_cum") + 1) / 2.0).alias("d"))
-    for side in ("x", "y"):
-        of_side = ranks.where(F.col("side") == side).select("a", "b", F.col("v").alias(side), F.col("d").alias("d" + side))
-        long = long.join(of_side, ["a", "b", side])
-    x, y = F.col("dx"), F.col("dy")
-    sums = long.groupBy("a", "b").agg(F.sum(x * y).alias("c"), (F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))).alias("s"))
-    sums = sums.select("a", "b", F.when(F.col("s") > 0, F.col("c") / F.col("s")).alias("r"))
-    return pairs.join(sums, ["a", "b"], "left")
+    found = rank_products(df, [_as_double(df, c) for c in cols])
+    return pairs.join(_coefficients(found, cols), ["a", "b"], "left")
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
