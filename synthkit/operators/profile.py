@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthkit.functions.random import uniform
+from synthkit.operators.brackets import exact_quantiles
 from synthkit.operators.cross import pair_moments
 from synthkit.operators.ordering import with_running_sums
 from synthkit.operators.ranks import rank_products
@@ -219,31 +220,12 @@ def infer_types(df: DataFrame, min_rate: float = 0.99, enum_max: int = 50,
 def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """Exact ``quantile_cont`` per column and prob → ``(column, prob, value)``.
 
-    Exact at any size: value counts (partial aggregate) → global running
-    counts (range-partitioned sort, no single-task window) → the two values
-    around rank ``p*(n-1)`` → linear interpolation.
+    Exact at any size and without ordering all values: sketches bracket the wanted ranks, a second scan
+    counts and selects inside the brackets (:mod:`synthkit.operators.brackets`).  Nulls and NaN are left
+    out; a column without values gives no rows.  Both scans run in this call.
     """
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), _as_double(df, c).alias("x")) for c in cols])
-    vc = (df.select(F.explode(arr).alias("_e")).select("_e.column", "_e.x")
-          .filter(F.col("x").isNotNull() & ~F.isnan("x"))
-          .groupBy("column", "x").agg(F.count(F.lit(1)).alias("cnt")))
-    cum = with_running_sums(vc, "x", {"hi": F.col("cnt")}, groups=["column"], total_prefix="n_")
-    cum = cum.withColumn("lo", F.col("hi") - F.col("cnt"))  # ranks [lo, hi) hold value x
-    start = cum.groupBy("column").agg(F.first("n_hi").alias("n"))
-    probs_arr = F.array(*[F.lit(float(q)) for q in probs])
-    targets = (start.select("column", "n", F.explode(probs_arr).alias("prob"))
-               .withColumn("h", F.col("prob") * (F.col("n") - 1))
-               .withColumn("r0", F.floor("h")).withColumn("r1", F.ceil("h")))
-    # targets are columns × probs (parameter-size): broadcast them and stream the counts
-    t = F.broadcast(targets.withColumnRenamed("column", "_tc"))
-    at = lambda r, name: (cum.select("column", "x", "lo", "hi").join(
-        t, (F.col("_tc") == F.col("column")) & (F.col(r) >= F.col("lo")) & (F.col(r) < F.col("hi")))
-        .select("column", "prob", "h", F.col(r).alias("_r"), F.col("x").alias(name)))
-    a = at("r0", "x0")
-    b = at("r1", "x1").select("column", "prob", "x1")
-    return (a.join(b, ["column", "prob"])
-            .select("column", "prob",
-                    (F.col("x0") + (F.col("h") - F.col("_r")) * (F.col("x1") - F.col("x0"))).alias("value")))
+    found = exact_quantiles(df, {c: _as_double(df, c) for c in cols}, probs)
+    return df.sparkSession.createDataFrame(found, "column string, prob double, value double")  # columns x probs rows
 
 
 def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None,
