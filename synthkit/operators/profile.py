@@ -5,9 +5,11 @@ Design rules used throughout:
 * all per-column moments come from ONE aggregate (chunked at ``_CHUNK``
   columns so generated code stays under the 64 KB method limit) and are
   unpivoted with ``inline`` — never one job per column;
-* exact distinct counts, category shares and sample values come from a
-  long-form value-count table ``(column, v, cnt)`` built with a partial
-  (map-side) aggregate, so a hot value collapses before the shuffle;
+* types need exact distinct counts only near their limits: sketches in one scan
+  tell which columns these are, and fixed-width digests count them;
+* category shares come from a long-form value-count table ``(column, v, cnt)``
+  built with a partial (map-side) aggregate, so a hot value collapses before
+  the shuffle;
 * nothing collects rows; only per-column parameters are small.
 """
 
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 from synthkit.functions.random import uniform
 from synthkit.operators.brackets import exact_quantiles
 from synthkit.operators.cross import pair_moments
+from synthkit.operators.distinct import Cardinality, digest_counts
 from synthkit.operators.ordering import with_running_sums
 from synthkit.operators.ranks import rank_products
 
@@ -125,7 +128,7 @@ def column_stats(df: DataFrame, cols: list[str] | None = None,
     depend on the order of rows; values too large for that use the double sum.
 
     ``exact_distinct=False`` uses ``approx_count_distinct`` (HLL, bounded memory)
-    instead of the long-form exact count.
+    instead of the exact count of the values' digests.
     """
     cols = cols or df.columns
 
@@ -141,8 +144,7 @@ def column_stats(df: DataFrame, cols: list[str] | None = None,
         aggs.append(F.approx_count_distinct(F.when(~F.col("z"), F.col("h"))).alias("distinct"))
     stats = _per_column(df, cols, entry, aggs)
     if exact_distinct:
-        d = value_counts(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-        stats = stats.join(d, "column", "left")
+        stats = stats.join(digest_counts(df, cols).drop("n"), "column", "left")
     counts = [F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(k) for k in ("n", "nulls", "distinct")]
     return stats.select("column", *counts, "min", "max", "mean", "stddev", "skewness", "kurtosis")
 
@@ -164,7 +166,8 @@ def infer_types(df: DataFrame, min_rate: float = 0.99, enum_max: int = 50,
     uuid, otherwise ``text`` (ours).  Non-string arrays, maps, structs →
     ``json`` (ours).
     """
-    stats = stats if stats is not None else column_stats(df)
+    stats = stats if stats is not None else Cardinality(df, enum_max=enum_max).table(df.sparkSession)
+
     def entry(c):
         text = F.col(c) if _is(df.schema[c].dataType, T.StringType) else F.lit(None).cast("string")
         return F.struct(F.lit(c).alias("column"), text.alias("v"))
@@ -366,11 +369,8 @@ def label_vocabulary(df: DataFrame, col: str) -> DataFrame:
 
 def unique_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``(column, n, distinct, is_unique)``; unique = every non-null value occurs once."""
-    cols = cols or df.columns
-    vc = value_counts(df, cols)
-    agg = vc.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("cnt").alias("n"))
-    return agg.select("column", F.col("n").cast("bigint").alias("n"), "distinct",
-                      ((F.col("distinct") == F.col("n")) & (F.col("n") > 0)).alias("is_unique"))
+    found = digest_counts(df, cols or df.columns)
+    return found.select("column", "n", "distinct", ((F.col("distinct") == F.col("n")) & (F.col("n") > 0)).alias("is_unique"))
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from synthkit.functions.random import uniform
 from synthkit.functions.text import shorten, slugify
+from synthkit.operators.distinct import Cardinality
+from synthkit.operators.ordering import written
 from synthkit.operators.profile import (
-    fit_best, infer_types, null_counts, num_text, value_counts,
+    fit_best, infer_types, num_text, value_counts,
 )
-from synthkit.session import scratch_dir
 
 
 def _epoch_to_date_text(x: Column) -> Column:
@@ -54,22 +55,23 @@ def dist_text(fits: DataFrame) -> Column:
             .otherwise(F.lit("JSON")))
 
 
+def _sample(seed: int) -> Column:
+    return F.min_by("v", uniform(seed, "sample_value", F.col("v"))).alias("_v")
+
+
 def profile_table(df: DataFrame, seed: int = 0, enum_max: int = 50, min_rate: float = 0.99,
                   share_places: int = 2) -> DataFrame:
     """Everything needed for the schema table and the synthesis spec, one row per column.
 
-    Jobs: one aggregate for moments/null counts, one long-form value count
-    (reused for distinct counts, enum shares and samples), one aggregate for
-    the fits.  Columns: column, spark_type, type, n, nulls, distinct,
-    is_unique, family, fit parameters, shares (array<struct<value,share>>),
-    shares_text and sample.
+    Jobs: one scan of sketches (:mod:`synthkit.operators.distinct`), exact digests for the columns near a limit,
+    one aggregate for the fits, one for the samples; only the values of columns that may be enums are written.
+    Columns: column, spark_type, type, n, nulls, distinct (exact for enum and near-unique columns, else the
+    sketch's estimate), is_unique, family, fit parameters, shares (array<struct<value,share>>), shares_text and sample.
     """
-    # the long-form counts feed distinct counts, shares and samples: write them once
-    scratch_dir(df.sparkSession)  # makes sure a checkpoint dir is set
-    vc = value_counts(df).checkpoint()
-    distinct = vc.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    stats = (null_counts(df).join(distinct, "column", "left")
-             .withColumn("distinct", F.coalesce(F.col("distinct"), F.lit(0)).cast("bigint")))
+    gate = Cardinality(df, enum_max=enum_max)
+    stats = gate.table(df.sparkSession)
+    few = gate.few
+    vc = written(value_counts(df, few), "values") if few else df.sparkSession.createDataFrame([], "column string, v string, cnt bigint")
     types = infer_types(df, min_rate=min_rate, enum_max=enum_max, stats=stats)
     fit_cols = [f.name for f in df.schema.fields
                 if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -94,7 +96,12 @@ def profile_table(df: DataFrame, seed: int = 0, enum_max: int = 50, min_rate: fl
         F.transform("_sh", lambda s: F.struct(s["value"].alias("value"), s["share"].alias("share"))).alias("shares"),
         F.concat(F.lit("{"), F.array_join(F.transform("_sh", lambda s: F.concat(
             s["value"], F.lit(":"), num_text(s["share"], share_places))), ", "), F.lit("}")).alias("shares_text"))
-    samples = vc.groupBy("column").agg(F.min_by("v", uniform(seed, "sample_value", F.col("v"))).alias("_v"))
+    # the value of the smallest hash: the same over all rows as over the distinct values
+    samples = vc.groupBy("column").agg(_sample(seed))
+    many = [c for c in df.columns if c not in few]
+    if many:
+        values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in many])).alias("e"))
+        samples = samples.unionByName(values.select("e.*").where("v IS NOT NULL").groupBy("column").agg(_sample(seed)))
     out = base.join(shares, "column", "left").join(samples, "column", "left")
     t = F.col("type")
     sample = (F.when(t == "uuid", shorten(F.col("_v"), 5, 2))
