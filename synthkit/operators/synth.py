@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from synthkit.functions.random import normal, normal_cdf, uniform, uuid_text
 from synthkit.operators.conditions import truncated_normal
+from synthkit.operators.labels import gen_label_sets
 from synthkit.operators.ordering import with_position, with_running_sums
 
 ID = "id"
@@ -125,7 +126,8 @@ def join_categories(df: DataFrame, u: Column, intervals: DataFrame, out: str, bu
 
 def gen_multilabel(seed: int, name: str, shares: list[tuple[str, float]], mode: str = "md5",
                    key: Column | None = None) -> Column:
-    """Each label independently with its share (one Bernoulli uniform per label)."""
+    """Each label independently with its share (one Bernoulli uniform per label); with the source's lengths see
+    :func:`synthkit.operators.labels.gen_label_sets`."""
     key = key if key is not None else F.col(ID)
     picks = [F.when(uniform(seed, f"{name}:{lab}", key, mode) < _lit(s), F.lit(lab)) for lab, s in shares]
     return F.filter(F.array(*picks), lambda x: x.isNotNull())
@@ -210,7 +212,9 @@ def column_expr(col: dict, seed: int, mode: str, z: Column | None = None) -> Col
         if st != "string":
             expr = expr.cast(st)
     elif typ == "array<str>":
-        expr = gen_multilabel(seed, name, [(s["value"], s["share"]) for s in d["shares"]], mode)
+        shares = [(s["value"], s["share"]) for s in d["shares"]]
+        expr = gen_label_sets(seed, name, shares, [(s["labels"], s["share"]) for s in d["lengths"]], mode) if d.get("lengths") \
+            else gen_multilabel(seed, name, shares, mode)
     elif typ == "date":
         if col.get("spark_type") == "date" or d.get("unit") == "day":
             expr = gen_uniform_date(u, d["lo_date"], d["hi_date"])

@@ -9,6 +9,7 @@ from synthkit.plans.registry import register, rounded, table
 from synthkit.session import scratch_dir
 from synthkit.sources import readers, sinks
 from synthkit.streaming import stream
+from synthkit.streaming.late import LateRows
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 CONV_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
@@ -52,13 +53,34 @@ WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDE
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, CAST(min(ts) AS VARCHAR) AS session_start, CAST(max(ts) + INTERVAL 6 HOUR AS VARCHAR) AS session_end,
        count(*) AS n
-FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+FROM s GROUP BY user_id, sid""")
 def q_stream_sessions(spark, sf):
-    out, _ = stream.run_to_table(stream.stream_sessions(_events(spark, sf), "ts", "user_id"), "sessions")
+    out, _ = stream.sessions_so_far(_events(spark, sf), "ts", "user_id")
     return out.select("user_id", _tscol("session_start").alias("session_start"),
                       _tscol("session_end").alias("session_end"), "n")
 
 
+@register("late_rows", """
+SELECT event_type, count(*) AS late FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 3 DAY GROUP BY event_type""")
+def q_late_rows(spark, sf):
+    """Every event older than three days is delivered again, a kind at a time, after the watermark (one day) has passed it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ev = table(spark, sf, "events")
+    newest = ev.agg(F.max("ts") - F.expr("INTERVAL 3 DAYS")).first()[0]
+    path, found = scratch_dir(spark, "late-events"), []
+    ev.write.parquet(path)
+    folders = {"out": scratch_dir(spark, "late-out"), "checkpoint": scratch_dir(spark, "late-ckpt")}
+    src = stream.stream_dedup(stream.events_stream(spark, path, EVENTS_SCHEMA), ["event_id"], "ts")
+    with LateRows(spark, scratch_dir(spark, "late-counts")) as late:
+        before = late.total(stream.run_to_table(src, **folders)[1])
+        for kind in sorted(r[0] for r in ev.select("event_type").distinct().collect()):  # an enum of the events
+            ev.where((F.col("ts") < F.lit(newest)) & (F.col("event_type") == kind)).write.mode("append").parquet(path)
+            total = late.total(stream.run_to_table(src, **folders)[1])
+            found.append((kind, total - before))
+            before = total
+    return spark.createDataFrame([f for f in found if f[1]], "event_type string, late bigint")
+
+
 @register("stream_dedup", "SELECT DISTINCT event_id, user_id, event_type FROM events")
 def q_stream_dedup(spark, sf):
     """Deliveries are repeated by the transport: the event id is the key."""

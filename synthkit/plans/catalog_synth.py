@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from synthkit.functions.random import normal, uniform, uuid_text
 from synthkit.operators import profile, synth
+from synthkit.operators.labels import gen_label_sets
 from synthkit.plans.registry import normal_sql, register, rounded, table, u_sql
 from synthkit.plans.spec import infer_spec
 
@@ -148,6 +149,23 @@ def q_gen_multilabel(spark, sf):
     return out
 
 
+@register("gen_label_sets", f"""
+WITH h AS (SELECT len(priorities) AS k, count(*) / sum(count(*)) OVER () AS share FROM {_LABELS_SQL} GROUP BY k),
+c AS (SELECT k, sum(share) OVER (ORDER BY k) AS hi, sum(share) OVER (ORDER BY k) - share AS lo, max(k) OVER () AS most FROM h),
+g AS (SELECT id, {u_sql(5, 'sets:#', 'id')} AS u FROM range((SELECT count(*) FROM {_LABELS_SQL})) t(id))
+SELECT id, k AS labels, k AS distinct_labels, 0 AS unknown FROM g JOIN c ON u >= lo AND (u < hi OR k = most)""")
+def q_gen_label_sets(spark, sf):
+    """Priorities of as many customers as have orders; the SQL gives each row's length (the weights are fitted by rounds)."""
+    labels = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
+    shares, lengths = profile.fit_multilabel(labels, "p")
+    sh = [(r["label"], r["share"]) for r in shares.orderBy(F.desc("rows"), "label").collect()]
+    sets = gen_label_sets(5, "sets", sh, [(r["labels"], r["share"]) for r in lengths.collect()])
+    known = F.array(*[F.lit(lab) for lab, _ in sh])
+    return spark.range(_n(labels)).select("id", sets.alias("p")).select(
+        "id", F.size("p").cast("bigint").alias("labels"), F.size(F.array_distinct("p")).cast("bigint").alias("distinct_labels"),
+        F.size(F.array_except("p", known)).alias("unknown"))
+
+
 _GRID = [k / 100 for k in range(101)]
 
 

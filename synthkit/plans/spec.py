@@ -79,9 +79,10 @@ def infer_spec(df: DataFrame, rows: int | None = None, seed: int = 0, mode: str
             col["dist"] = {"family": "uniform", "lo": r["lo"], "hi": r["hi"], "unit": "day" if whole_days else "micro",
                            "lo_date": extra["_lo_" + name], "hi_date": extra["_hi_" + name]}
         elif typ == "array<str>":
-            shares, _ = fit_multilabel(df, name)
+            shares, lengths = fit_multilabel(df, name)
             top = shares.orderBy(F.desc("rows"), "label").collect()  # the label vocabulary is part of the spec
-            col["dist"] = {"family": "multilabel", "shares": [{"value": s["label"], "share": s["share"]} for s in top]}
+            col["dist"] = {"family": "multilabel", "shares": [{"value": s["label"], "share": s["share"]} for s in top],
+                           "lengths": [{"labels": s["labels"], "share": s["share"]} for s in lengths.orderBy("labels").collect()]}
         else:  # free text / nested values: no generative model in the product
             raise ValueError(f"column {name} holds {typ} values, which no spec can generate: list it under drop, "
                              "or resample whole rows with bootstrap")

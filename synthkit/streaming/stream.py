@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from synthkit.operators.validate import PII_PATTERNS
 from synthkit.session import scratch_dir
+from synthkit.streaming.late import path_exists
 
 
 def events_stream(spark: SparkSession, path: str, schema: str, ts: str = "ts", glob: str | None = None,
@@ -93,6 +94,30 @@ def stream_sessions(sdf: DataFrame, ts: str, user: str, gap: str = "6 hours", de
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
+def open_sessions(closed: DataFrame, checkpoint: str, user: str) -> DataFrame:
+    """Sessions of a :func:`stream_sessions` query that the watermark has not closed, from its last committed state."""
+    spark = closed.sparkSession
+    if not path_exists(spark, checkpoint + "/state"):  # no batch has run
+        return closed.limit(0)
+    s = spark.read.format("statestore").load(checkpoint).select("value.*")
+    return s.select(user, F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
+                    F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), F.col("count").alias("n"))
+
+
+def sessions_so_far(sdf: DataFrame, ts: str, user: str, gap: str = "6 hours", delay: str = "1 day", out: str | None = None,
+                    checkpoint: str | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Drain the stream; every session so far, with ``open`` true for those that later events may still extend.
+
+    Closed sessions are appended to ``out`` (session windows have no update mode); open ones are read from the
+    state of the last batch, which holds a session exactly until it is delivered.
+    """
+    spark = sdf.sparkSession
+    checkpoint = checkpoint or scratch_dir(spark, "sessions-ckpt")
+    closed, q = run_to_table(stream_sessions(sdf, ts, user, gap, delay), "sessions", out=out, checkpoint=checkpoint)
+    still = open_sessions(closed, checkpoint, user)
+    return closed.withColumn("open", F.lit(False)).unionByName(still.withColumn("open", F.lit(True))), q
+
+
 def stream_dedup(sdf: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> DataFrame:
     """Drop repeats of ``keys`` seen within the watermark delay (state is bounded by the delay)."""
     return sdf.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
@@ -129,18 +154,3 @@ def drift_of(counts: DataFrame, base_shares: list[float], eps: float = 1e-4) ->
         return (q - p) * F.log(q / p)
     psi = F.aggregate(F.transform(bins, term), F.lit(0.0), lambda a, x: a + x)
     return per.select("window_start", psi.alias("psi"), F.col("rows").cast("bigint").alias("rows"))
-
-
-def late_rows(q: StreamingQuery) -> int:
-    """Rows dropped because they arrived behind the watermark, over the batches that the query's progress keeps
-    (``spark.sql.streaming.numRecentProgressUpdates``; 100 unless set before the query starts).
-
-    Counted where the state store sees them: for a windowed aggregate that is
-    one row per late (window, key) partial aggregate; for dedup, input rows.
-    """
-    total = 0
-    for p in q.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            total += n or 0
-    return total

@@ -7,6 +7,7 @@ from synthkit.session import scratch_dir
 from synthkit.sources import readers, sinks
 from synthkit.sources.xlsx import write_workbook
 from synthkit.streaming import stream
+from synthkit.streaming.late import LateRows
 from tests.conftest import SF
 
 
@@ -82,16 +83,16 @@ def test_late_rows_counted(spark, tmp_path):
     q_df = stream.stream_profile(src, "ts", "event_type", "value")
     out = scratch_dir(spark, "s")
     ck = scratch_dir(spark, "c")
-    q = (q_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    late.write.parquet(str(d / "b"))  # arrives after the watermark moved on
-    q2 = (q_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-          .trigger(availableNow=True).start())
-    q2.awaitTermination()
-    # the state store sees partial aggregates: one dropped row per late (window, key) group
-    groups = late.select(F.date_trunc("day", "ts"), "event_type").distinct().count()
-    assert stream.late_rows(q2) == groups
+    with LateRows(spark, scratch_dir(spark, "late")) as counter:
+        for new in (None, late):
+            if new is not None:
+                new.write.parquet(str(d / "b"))  # arrives after the watermark moved on
+            q = (q_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+                 .trigger(availableNow=True).start())
+            q.awaitTermination()
+            # the state store sees partial aggregates: one dropped row per late (window, key) group
+            groups = late.select(F.date_trunc("day", "ts"), "event_type").distinct().count()
+            assert counter.total(q) == (0 if new is None else groups)
 
 
 def _event_files(spark, n, repeats=False):
