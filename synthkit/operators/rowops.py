@@ -51,9 +51,12 @@ def ranked_sort(df: DataFrame, flag, order, tie, position: str | None = None) ->
 
 
 def list_summary(df: DataFrame, by: list[str] | str, col: str, k: int = 2,
-                 order: str | None = None, salt_buckets: int = 64) -> DataFrame:
+                 order: str | None = None, salt_buckets: int = 64, groups: DataFrame | None = None) -> DataFrame:
     """Per group: ``"a, b +n more"`` from the first ``k`` values; 1 value → itself.
 
+    ``groups`` lists the groups to report (its distinct ``by`` columns, null included): those without rows have
+    ``n`` 0 and the fixed phrase, and groups it does not list are left out.  Without it the rows' own groups.
+
     Groups may be huge and one may hold most rows, so whole groups are never
     collected: rows are salted into ``salt_buckets`` sub-groups, each keeps its
     first ``k`` (window on (group, salt)), and only ``k * salt_buckets``
@@ -78,7 +81,14 @@ def list_summary(df: DataFrame, by: list[str] | str, col: str, k: int = 2,
                .when(F.col("n") > k, F.concat(shown, F.lit(" +"), (F.col("n") - k).cast("string"),
                                               F.lit(" more")))
                .otherwise(shown))
-    return (counts.join(top, by).select(*by, "n", summary.alias("summary")))
+    found = counts.join(top, by)
+    if groups is None:
+        return found.select(*by, "n", summary.alias("summary"))
+    wanted = groups.select(*[F.col(b).alias("_sk_g_" + b) for b in by]).distinct()
+    same = [F.col("_sk_g_" + b).eqNullSafe(F.col(b)) for b in by]
+    listed = counts.join(top, [counts[b].eqNullSafe(top[b]) for b in by]).select(*[counts[b] for b in by], "n", "_sk_top")
+    return (wanted.join(listed, same, "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
+            .select(*[F.col("_sk_g_" + b).alias(b) for b in by], "n", summary.alias("summary")))
 
 
 def lookup_or_first(keys: DataFrame, df: DataFrame, key: str, order: str,

@@ -47,6 +47,22 @@ def q_list_summary(spark, sf):
     return rowops.list_summary(table(spark, sf, "customer"), "c_nationkey", "c_name", k=2)
 
 
+@register("list_summary_groups", f"""
+WITH c AS (SELECT c_nationkey, c_name FROM customer WHERE c_acctbal > 9800),
+r AS (SELECT n_nationkey, c_name, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_name) AS rn,
+             count(c_name) OVER (PARTITION BY n_nationkey) AS n
+      FROM nation LEFT JOIN c ON c_nationkey = n_nationkey)
+SELECT n_nationkey AS c_nationkey, n,
+       CASE WHEN n = 0 THEN '{rowops.EMPTY_LIST_PHRASE}'
+            WHEN n > 2 THEN string_agg(c_name, ', ' ORDER BY c_name) || ' +' || CAST(n - 2 AS VARCHAR) || ' more'
+            ELSE string_agg(c_name, ', ' ORDER BY c_name) END AS summary
+FROM r WHERE rn <= 2 GROUP BY n_nationkey, n""")
+def q_list_summary_groups(spark, sf):
+    """Customers with a high balance in every nation, nations without one included."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    return rowops.list_summary(table(spark, sf, "customer").where("c_acctbal > 9800"), "c_nationkey", "c_name", k=2, groups=nations)
+
+
 @register("lookup_or_first", """
 WITH b AS (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'),
      f AS (SELECT c_custkey, c_name FROM b ORDER BY c_custkey LIMIT 1)

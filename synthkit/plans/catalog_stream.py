@@ -173,6 +173,11 @@ def q_read_export_chat(spark, sf):
     return readers.read_export(spark, "chat", f"{sf}/conversations.parquet")
 
 
+@register("read_export_drive", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_read_export_drive(spark, sf):
+    return readers.read_export(spark, "drive", f"{sf}/documents.parquet")
+
+
 _ALL = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
         "conversations").split()
 
@@ -184,6 +189,15 @@ def q_scan_sources(spark, sf):
     return readers.source_counts(readers.scan_sources(spark, prof))
 
 
+@register("scan_sources_files", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS source, '{t}.parquet' AS file, count(*) AS rows FROM {t}" for t in _ALL))
+def q_scan_sources_files(spark, sf):
+    """Where the rows come from: every source is read from the folder by a name filter, each row keeps its file."""
+    prof = [{"name": t, "path": sf, "glob": f"{t}.parquet"} for t in _ALL]
+    found = readers.file_counts(readers.scan_sources(spark, prof))
+    return found.withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
+
+
 @register("file_inventory", """
 SELECT regexp_extract(filename, '([^/]+)$', 1) AS name, size,
        CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B'

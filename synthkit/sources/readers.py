@@ -147,16 +147,30 @@ def read_export(spark: SparkSession, kind: str, path: str, fmt: str = "parquet")
     raise ValueError(f"unknown export kind {kind!r}; known: {sorted(EXPORTS)}")
 
 
-def scan_sources(spark: SparkSession, profile: list[dict]) -> dict[str, DataFrame]:
-    """Enabled sources of a profile → {name: DataFrame}.  Entries: ``{name, path, format, enabled}``."""
+def scan_sources(spark: SparkSession, profile: list[dict], path_col: str | None = "_file_path") -> dict[str, DataFrame]:
+    """Enabled sources of a profile → {name: DataFrame}.  Entries: ``{name, path, format, enabled, recursive, glob, options}``.
+
+    Folders are read with all their subfolders; ``recursive: False`` reads one level and takes ``key=value``
+    subfolders as partition columns instead.  Every row keeps the file it came from in ``path_col`` (None: left out).
+    """
     out = {}
     for s in profile:
         if s.get("enabled", True):
-            out[s["name"]] = (spark.read.format(s.get("format", "parquet"))
-                              .option("recursiveFileLookup", s.get("recursive", False)).load(s["path"]))
+            r = spark.read.format(s.get("format", "parquet")).option("recursiveFileLookup", s.get("recursive", True))
+            if s.get("glob"):
+                r = r.option("pathGlobFilter", s["glob"])
+            df = r.options(**s.get("options", {})).load(s["path"])
+            out[s["name"]] = df.withColumn(path_col, F.col("_metadata.file_path")) if path_col else df
     return out
 
 
+def file_counts(sources: dict[str, DataFrame], path_col: str = "_file_path") -> DataFrame:
+    """(source, file, rows) of the sources that :func:`scan_sources` gave: the file's path and its rows."""
+    parts = [df.groupBy(F.col(path_col).alias("file")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("source"), "file", "rows")
+             for n, df in sources.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def source_counts(sources: dict[str, DataFrame]) -> DataFrame:
     """(source, rows) for every source — one plan, one scan per source (counts read footers only)."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("source"), "rows")

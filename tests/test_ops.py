@@ -73,6 +73,25 @@ def test_file_inventory_prunes_content(spark):
     assert inv.count() == 14
 
 
+def test_list_summary_of_listed_groups(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "z"), (None, "n"), ("unlisted", "u")], "g string, v string")
+    groups = spark.createDataFrame([("a",), ("a",), ("empty",), (None,)], "g string")
+    got = {r["g"]: (r["n"], r["summary"]) for r in rowops.list_summary(df, "g", "v", groups=groups).collect()}
+    assert got == {"a": (3, "x, y +1 more"), "empty": (0, rowops.EMPTY_LIST_PHRASE), None: (1, "n")}
+
+
+def test_sources_are_scanned_with_their_subfolders(spark, tmp_path):
+    for i, sub in enumerate(("", "y2024", "y2024/m01")):
+        (tmp_path / sub).mkdir(exist_ok=True)
+        (tmp_path / sub / f"f{i}.csv").write_text("id\n" + "1\n" * (i + 1))
+    profile = [{"name": "all", "path": str(tmp_path), "format": "csv", "options": {"header": "true"}},
+               {"name": "top", "path": str(tmp_path), "format": "csv", "recursive": False, "glob": "f0.csv"}, {"name": "off", "path": "nowhere", "enabled": False}]
+    sources = readers.scan_sources(spark, profile)
+    got = {(r["source"], r["file"].split(str(tmp_path))[1]): r["rows"] for r in readers.file_counts(sources).collect()}
+    assert got == {("all", "/f0.csv"): 1, ("all", "/y2024/f1.csv"): 2, ("all", "/y2024/m01/f2.csv"): 3, ("top", "/f0.csv"): 2}
+    assert readers.scan_sources(spark, profile, path_col=None)["all"].columns == ["id"]
+
+
 def test_late_rows_counted(spark, tmp_path):
     d = tmp_path / "ev"
     d.mkdir()
