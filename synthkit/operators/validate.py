@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synthkit.operators import stars
 from synthkit.operators.nearest import nearest, split_tree
 from synthkit.operators.ordering import with_running_sums, written
 from synthkit.operators.profile import _as_double, correlations, quantiles
@@ -320,7 +321,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, threshold: f
     prefix filtering: with the grams of each set in one order, rarest first, two
     sets within the threshold share one of their first ``n - ceil(t·n) + 1``
     grams, so no link is missed, while lines that many texts hold come last and
-    key nothing.  Candidates are verified, then labels spread until nothing changes.
+    key nothing.  The members of a gram that many texts hold meet as stars (see
+    :mod:`synthkit.operators.stars`).  Candidates are verified, then labels spread until nothing changes.
     """
     scratch_dir(df.sparkSession)  # makes sure a checkpoint dir is set
     words = df.select(F.col(key).alias("k"), words_of(F.col(text)).alias("w"))
@@ -332,26 +334,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, threshold: f
     ordered = grams.join(freq, "g").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
     n = F.size("o")
     first = F.slice("o", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    pre = ordered.select("c", n.alias("n"), F.explode(F.filter(first, lambda x: x["f"] > 1)).alias("x")).select("c", "n", "x.g")
-    left, right = pre.select("g", F.col("c").alias("a"), F.col("n").alias("na")), pre.select("g", F.col("c").alias("b"), F.col("n").alias("nb"))
-    close = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    cand = left.join(right, "g").where(close).select("a", "b").distinct()
+    pre = ordered.select("c", n.alias("n"), F.posexplode(first).alias("i", "x")).where("x.f > 1").select(
+        F.col("x.g").alias("g"), "c", "n", (F.col("i") + 1).alias("i"))
     sets = cls.select("c", "sh")
-    both = (cand.join(sets.select(F.col("c").alias("a"), F.col("sh").alias("sa")), "a")
-            .join(sets.select(F.col("c").alias("b"), F.col("sh").alias("sb")), "b"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(inter >= F.lit(threshold) * (F.size("sa") + F.size("sb") - inter) - 1e-9).select("a", "b").checkpoint()
+    links = stars.links(pre, sets, threshold)
+    label = stars.spread_labels(cls, links)
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = cls.select("c", F.col("c").alias("rep")).checkpoint()
-    while True:  # each round: the smallest label of the neighbours, then the label's own label
-        seen = edges.join(label, F.col("b") == F.col("c")).groupBy("a").agg(F.min("rep").alias("m"))
-        low = label.join(seen, F.col("c") == F.col("a"), "left").select("c", F.least("rep", "m").alias("rep"))
-        up = label.select(F.col("c").alias("rep"), F.col("rep").alias("up"))
-        new = low.join(up, "rep").select("c", F.least("rep", "up").alias("rep")).checkpoint()
-        changed = new.join(label.withColumnRenamed("rep", "old"), "c").where("rep < old").limit(1).count()
-        label = new
-        if not changed:
-            break
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
     named = cls.select("c", "h", "sh").join(label, "c").join(least, F.col("c") == F.col("a"), "left").select("h", "sh", "c", "rep", "least")
     return rows.join(named, ["h", "sh"]).select(
