@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime
 import math
 import re
+from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from synthkit.functions.random import uniform
 
 _PART = re.compile(r"""^\s*`?(\w+)`?\s*(>=|<=|=|>|<)\s*(?:(?:DATE\s*)?'([^']*)'|([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?))\s*$""", re.I)
 _INF = math.inf
+_CDF_ERROR = 2e-7  # of the uniform that a latent normal gives
 
 # Wichura's algorithm AS 241 (PPND16), numerators and denominators from the highest power down.
 _CENTRE = ((2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125,
@@ -143,13 +145,46 @@ class Given:
 
 
 def _linked_range(col, parts, as_int):
+    """The range of the latent normal that holds all values meeting the parts, or None."""
     d = col.get("dist", {})
-    limits = _range(parts)
-    if limits is None or d.get("family") not in ("gaussian", "lognormal"):
-        return None
+    limits, family = _range(parts), d.get("family")
     slack = 0.5 if as_int else 0.0
-    lo, hi = _normal_range(d, limits[0] - slack, limits[1] + slack)
-    return (lo, hi) if lo <= hi else (_INF, _INF)  # no value: chance 0
+    if family in ("gaussian", "lognormal") and limits is not None and col["type"] != "date":
+        lo, hi = _normal_range(d, limits[0] - slack, limits[1] + slack)
+        return (lo, hi) if lo <= hi else (_INF, _INF)  # no value: chance 0
+    found = _uniform_range(col, d, family, parts, limits, slack)
+    if found is None:
+        return None
+    a, b = (found[0] - _CDF_ERROR, found[1] + _CDF_ERROR)
+    if found[0] > found[1] or b <= 0 or a >= 1:
+        return _INF, _INF
+    z = NormalDist().inv_cdf
+    return (z(a) if a > 0 else -_INF), (z(b) if b < 1 else _INF)
+
+
+def _uniform_range(col, d, family, parts, limits, slack):
+    """The range of the column's uniform, or None."""
+    if col["type"] == "enum":
+        total, upto = sum(s["share"] for s in d["shares"]), 0.0
+        for s in d["shares"]:
+            if len(parts) == 1 and parts[0][0] == "=" and str(s["value"]) == str(parts[0][1]):
+                return upto / total, (upto + s["share"]) / total
+            upto += s["share"]
+        return None
+    if col["type"] == "date":
+        if (days := _days(col, parts)) is None:
+            return None
+        a, b, first, last = days
+        return (a - first) / (last - first + 1), (b - first + 1) / (last - first + 1)
+    if limits is None:
+        return None
+    if family == "uniform" and d["hi"] > d["lo"]:
+        n = float(d["hi"]) - float(d["lo"]) + (1 if slack else 0)
+        return (max((limits[0] - d["lo"]) / n, 0.0), min((limits[1] - d["lo"] + (1 if slack else 0)) / n, 1.0))
+    if family == "exponential":
+        lo, hi = (max(x, 0.0) for x in (limits[0] - slack, limits[1] + slack))
+        return 1 - math.exp(-d["rate"] * lo), 1 - math.exp(-d["rate"] * hi)
+    return None
 
 
 def _draw(col, parts, as_int, u) -> tuple[Column, float] | None:
@@ -193,7 +228,8 @@ def _draw(col, parts, as_int, u) -> tuple[Column, float] | None:
     return None
 
 
-def _draw_date(col, parts, u):
+def _days(col, parts) -> tuple[int, int, int, int] | None:
+    """First and last day (ordinals) that meet the parts, and those of the column."""
     d = col["dist"]
     if not (col.get("spark_type") == "date" or d.get("unit") == "day") or not all(isinstance(v, str) for _, v in parts):
         return None
@@ -204,6 +240,13 @@ def _draw_date(col, parts, u):
     first, last = (datetime.date.fromisoformat(d[k]).toordinal() for k in ("lo_date", "hi_date"))
     a = max([first, *(v + (op == ">") for op, v in days if op in (">", ">=", "="))])
     b = min([last, *(v - (op == "<") for op, v in days if op in ("<", "<=", "="))])
+    return a, b, first, last
+
+
+def _draw_date(col, parts, u):
+    if (days := _days(col, parts)) is None:
+        return None
+    a, b, first, last = days
     if a > b:
         return F.lit(None).cast("date"), 0.0
     start = datetime.date.fromordinal(a).isoformat()

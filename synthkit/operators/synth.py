@@ -175,10 +175,19 @@ def correlated_normals(seed: int, names: list[str], chol: np.ndarray, mode: str
                        key: Column | None = None, first: Column | None = None) -> dict[str, Column]:
     """Latent z per column: z = L·e with independent hash normals e (pure Column arithmetic); ``first`` replaces the
     first one."""
+    e = independent_normals(seed, names, mode, key, first)
+    return _combined(names, chol, e)
+
+
+def independent_normals(seed: int, names: list[str], mode: str = "md5", key: Column | None = None, first: Column | None = None) -> list[Column]:
     key = key if key is not None else F.col(ID)
     e = [normal(seed, f"latent:{n}", key, mode) for n in names]
     if first is not None:
         e[0] = first
+    return e
+
+
+def _combined(names: list[str], chol: np.ndarray, e: list[Column]) -> dict[str, Column]:
     out = {}
     for i, n in enumerate(names):
         expr = None
@@ -259,11 +268,16 @@ def synthesize(spark: SparkSession, spec: dict, rows: int | None = None, start:
         name, lo, hi = given.linked
         linked = [name, *(n for n in linked if n != name)]
         lead = truncated_normal(uniform(seed, f"given:{name}", F.col(ID), mode), lo, hi)
-    if linked:
-        chol = latent_cholesky(linked, corr, spearman=spec.get("corr_kind", "spearman") == "spearman")
-        zs = correlated_normals(seed, linked, chol, mode, first=lead)
     base = spark.range(start, start + n, numPartitions=num_partitions) if num_partitions else \
         spark.range(start, start + n)
+    if linked:  # the normals are projected once, then combined: column i does not repeat those before it.  The generator
+        # (one row each) keeps filters on the columns from being pushed down with a copy of the normals' expressions.
+        chol = latent_cholesky(linked, corr, spearman=spec.get("corr_kind", "spearman") == "spearman")
+        e = independent_normals(seed, linked, mode, first=lead)
+        base = base.select(ID, *[c.alias(f"_e{i}") for i, c in enumerate(e)])
+        mixed = _combined(linked, chol, [F.col(f"_e{i}") for i in range(len(e))])
+        base = base.select(ID, F.inline(F.array(F.struct(*[mixed[name].alias(f"_z{i}") for i, name in enumerate(linked)]))))
+        zs = {name: F.col(f"_z{i}") for i, name in enumerate(linked)}
     drawn = given.columns if given is not None else {}
     return base.select(F.col("id"), *[drawn[c["name"]] if c["name"] in drawn else column_expr(c, seed, mode, zs.get(c["name"])) for c in cols])
 

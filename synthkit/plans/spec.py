@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthkit.operators.profile import fit_multilabel, rank_correlations
+from synthkit.operators.copula import fit_copula
+from synthkit.operators.profile import fit_multilabel
 from synthkit.operators.schema import profile_table
 
 # The product's cohort (column, type, distribution) — parameters the mock-up leaves
@@ -43,10 +44,11 @@ COHORT_SPEC = {
 
 
 def infer_spec(df: DataFrame, rows: int | None = None, seed: int = 0, mode: str = "md5",
-               enum_max: int = 50, with_corr: bool = False, key: str | None = None, drop: tuple[str, ...] = ()) -> dict:
+               enum_max: int = 50, with_corr: bool = True, key: str | None = None, drop: tuple[str, ...] = ()) -> dict:
     """Profile ``df`` and turn the per-column fits into a spec (one small collect).
 
-    Text and nested columns cannot be generated: they must be listed under ``drop``.
+    Numbers, dates and enums are linked by a Gaussian copula unless ``with_corr`` is off (``key`` is not needed any
+    more).  Text and nested columns cannot be generated: they must be listed under ``drop``.
     """
     df = df.drop(*drop)
     prof = profile_table(df, seed=seed, enum_max=enum_max)
@@ -88,11 +90,9 @@ def infer_spec(df: DataFrame, rows: int | None = None, seed: int = 0, mode: str
                              "or resample whole rows with bootstrap")
         cols.append(col)
     spec = {"rows": int(rows if rows is not None else extra["_rows"]), "seed": seed, "mode": mode,
-            "columns": cols, "skipped": list(drop), "corr": [], "corr_kind": "spearman"}
+            "columns": cols, "skipped": list(drop), "corr": [], "corr_kind": "latent"}
     if with_corr:
-        num = [c["name"] for c in cols if c["type"] in ("int", "float") and c["dist"]["family"] != "sequence"]
-        if len(num) >= 2 and key:
-            spec["corr"] = [[r["a"], r["b"], r["r"]] for r in rank_correlations(df, num, key).collect()]
+        spec["corr"] = fit_copula(df, cols)
     return spec
 
 
