@@ -96,7 +96,7 @@ def fit_copula(df: DataFrame, columns: list[dict]) -> list[list]:
     Puts the shares of the enum columns into the order that the copula uses.
     """
     numbers = [c["name"] for c in columns if c["type"] in ("int", "float", "date") and c["dist"]["family"] != "sequence"]
-    enums = {c["name"]: c for c in columns if c["type"] == "enum"}
+    enums = {c["name"]: c for c in columns if c["type"] == "enum" and c["dist"]["shares"]}
     if len(numbers) + len(enums) < 2:
         return []
     for name, values in category_order(df, list(enums), numbers).items():

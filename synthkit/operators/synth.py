@@ -171,15 +171,8 @@ def latent_cholesky(names: list[str], corr: list[tuple[str, str, float]], spearm
     return np.linalg.cholesky(m)
 
 
-def correlated_normals(seed: int, names: list[str], chol: np.ndarray, mode: str = "md5",
-                       key: Column | None = None, first: Column | None = None) -> dict[str, Column]:
-    """Latent z per column: z = L·e with independent hash normals e (pure Column arithmetic); ``first`` replaces the
-    first one."""
-    e = independent_normals(seed, names, mode, key, first)
-    return _combined(names, chol, e)
-
-
 def independent_normals(seed: int, names: list[str], mode: str = "md5", key: Column | None = None, first: Column | None = None) -> list[Column]:
+    """One hash normal for each name; ``first`` replaces the first one."""
     key = key if key is not None else F.col(ID)
     e = [normal(seed, f"latent:{n}", key, mode) for n in names]
     if first is not None:
@@ -188,6 +181,7 @@ def independent_normals(seed: int, names: list[str], mode: str = "md5", key: Col
 
 
 def _combined(names: list[str], chol: np.ndarray, e: list[Column]) -> dict[str, Column]:
+    """Latent z for each name: z = L·e (pure Column arithmetic)."""
     out = {}
     for i, n in enumerate(names):
         expr = None
@@ -216,7 +210,7 @@ def column_expr(col: dict, seed: int, mode: str, z: Column | None = None) -> Col
     elif fam == "sequence":  # unique integers
         expr = (F.col(ID) + F.lit(int(d.get("lo", 0)))).cast("bigint")
     elif typ == "enum":
-        expr = gen_category(u, [(s["value"], s["share"]) for s in d["shares"]])
+        expr = gen_category(u, [(s["value"], s["share"]) for s in d["shares"]]) if d["shares"] else F.lit(None).cast("string")
         st = col.get("spark_type", "string")
         if st != "string":
             expr = expr.cast(st)

@@ -72,7 +72,7 @@ def infer_spec(df: DataFrame, rows: int | None = None, seed: int = 0, mode: str
             col["dist"] = {"family": "sequence", "lo": int(r["lo"])}
         elif typ == "enum":
             col["dist"] = {"family": "category",
-                           "shares": [{"value": s["value"], "share": s["share"]} for s in r["shares"]]}
+                           "shares": [{"value": s["value"], "share": s["share"]} for s in r["shares"] or []]}
         elif typ in ("int", "float"):
             col["dist"] = {"family": r["family"], "mu": r["mu"], "sigma": r["sigma"], "mu_log": r["mu_log"],
                            "sigma_log": r["sigma_log"], "rate": r["rate"], "lo": r["lo"], "hi": r["hi"]}

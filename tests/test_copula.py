@@ -76,3 +76,10 @@ def test_columns_that_cannot_be_linked(spark):
     assert all(abs(r) <= copula.MOST for *_, r in spec["corr"])
     assert synthesize(spark, spec).agg(F.count("c")).first()[0] == 100
     assert infer_spec(df, with_corr=False)["corr"] == []
+
+
+def test_columns_of_nulls_are_not_linked(spark):
+    df = spark.range(60).select("id", (F.col("id") * 0.5).alias("x"), F.lit(None).cast("string").alias("none"))
+    spec = infer_spec(df)
+    assert not any("none" in (a, b) for a, b, _ in spec["corr"])
+    assert synthesize(spark, spec).agg(F.count("none"), F.count("x")).first() == (0, 60)
