@@ -192,10 +192,10 @@ def q_scan_sources(spark, sf):
 @register("scan_sources_files", "\nUNION ALL\n".join(
     f"SELECT '{t}' AS source, '{t}.parquet' AS file, count(*) AS rows FROM {t}" for t in _ALL))
 def q_scan_sources_files(spark, sf):
-    """Where the rows come from: every source is read from the folder by a name filter, each row keeps its file."""
+    """Where the rows come from: every source is read from the folder by a name filter, each row keeps its file.
+    A table that is a folder of part files counts as one."""
     prof = [{"name": t, "path": sf, "glob": f"{t}.parquet"} for t in _ALL]
-    found = readers.file_counts(readers.scan_sources(spark, prof))
-    return found.withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
+    return readers.file_counts(readers.scan_sources(spark, prof), root=sf)
 
 
 @register("file_inventory", """

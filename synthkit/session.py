@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -55,3 +56,17 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     root = _checkpoint_root(spark)
     sub = f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
     return root.rstrip("/") + "/" + sub
+
+
+def folders_named(spark: SparkSession, path: str, glob: str) -> list[str]:
+    """The folders directly in ``path`` whose names fit ``glob`` (a table may be one file or a folder of files)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/" + glob)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []  # null: nothing there
+    return sorted(f.getPath().toString() for f in found if f.isDirectory() and f.getPath().getName()[0] not in "._")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, absolute; an empty authority (``file:///``) is left out (``file:/``)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", whole).rstrip("/")

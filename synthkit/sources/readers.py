@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from synthkit.functions.text import format_bytes
+from synthkit.session import folders_named, qualified
 from synthkit.sources.xlsx import workbook_rows
 
 
@@ -152,21 +153,51 @@ def scan_sources(spark: SparkSession, profile: list[dict], path_col: str | None
 
     Folders are read with all their subfolders; ``recursive: False`` reads one level and takes ``key=value``
     subfolders as partition columns instead.  Every row keeps the file it came from in ``path_col`` (None: left out).
+    ``glob`` names files, or folders directly in ``path``: such a folder is read whole, whatever its files are called.
     """
     out = {}
     for s in profile:
-        if s.get("enabled", True):
-            r = spark.read.format(s.get("format", "parquet")).option("recursiveFileLookup", s.get("recursive", True))
-            if s.get("glob"):
-                r = r.option("pathGlobFilter", s["glob"])
-            df = r.options(**s.get("options", {})).load(s["path"])
-            out[s["name"]] = df.withColumn(path_col, F.col("_metadata.file_path")) if path_col else df
+        if not s.get("enabled", True):
+            continue
+        glob = s.get("glob")
+        folders = folders_named(spark, s["path"], glob) if glob else []
+
+        def load(paths, **options):
+            df = spark.read.format(s.get("format", "parquet")).option("recursiveFileLookup", s.get("recursive", True)) \
+                .options(**options, **s.get("options", {})).load(paths)
+            return df, F.col("_metadata.file_path")
+
+        def outside(path):
+            return reduce(lambda a, b: a & b, [_below(path, spark, f).isNull() for f in folders], F.lit(True))
+        parts = []
+        if folders:
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", s.get("recursive", True)).option("pathGlobFilter", glob)
+            parts.append(load(folders))
+        if not folders or not listed.load(s["path"]).select(F.col("_metadata.file_path").alias("p")).where(outside(F.col("p"))).isEmpty():
+            df, path = load(s["path"], **({"pathGlobFilter": glob} if glob else {}))
+            parts.append((df.where(outside(path)) if folders else df, path))
+        found = [df.withColumn(path_col, path) if path_col else df for df, path in parts]
+        out[s["name"]] = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
     return out
 
 
-def file_counts(sources: dict[str, DataFrame], path_col: str = "_file_path") -> DataFrame:
-    """(source, file, rows) of the sources that :func:`scan_sources` gave: the file's path and its rows."""
-    parts = [df.groupBy(F.col(path_col).alias("file")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("source"), "file", "rows")
+def _below(path: F.Column, spark: SparkSession, folder: str) -> F.Column:
+    """What a file's path adds to its ``folder`` (from the slash on); null for files elsewhere."""
+    whole, start = F.regexp_replace(path, "^([A-Za-z0-9+.-]+):///", "$1:/"), qualified(spark, folder)
+    return F.when(whole.startswith(start + "/"), F.substring(whole, F.lit(len(start) + 1), F.length(whole)))
+
+
+def file_counts(sources: dict[str, DataFrame], path_col: str = "_file_path", root: str | None = None) -> DataFrame:
+    """(source, file, rows) of the sources that :func:`scan_sources` gave: the file's path and its rows.
+
+    With ``root``, the folder that was scanned, ``file`` is the file or folder in it that holds the rows.
+    """
+    def of(df):
+        path = F.col(path_col)
+        if root is None:
+            return path
+        return F.split_part(_below(path, df.sparkSession, root), F.lit("/"), F.lit(2))
+    parts = [df.groupBy(of(df).alias("file")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("source"), "file", "rows")
              for n, df in sources.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -92,6 +92,26 @@ def test_sources_are_scanned_with_their_subfolders(spark, tmp_path):
     assert readers.scan_sources(spark, profile, path_col=None)["all"].columns == ["id"]
 
 
+def test_sources_that_are_folders_of_part_files(spark, tmp_path):
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "sub" / "u"))
+    next((tmp_path / "sub" / "u").glob("part-*")).rename(tmp_path / "sub" / "t.parquet")  # a file of that name elsewhere
+    sources = readers.scan_sources(spark, [{"name": "t", "path": str(tmp_path), "glob": "t.parquet"}])
+    got = {r["file"]: r["rows"] for r in readers.file_counts(sources, root=str(tmp_path)).collect()}
+    assert got == {"t.parquet": 7, "sub": 5} and sorted(r.id for r in sources["t"].collect()) == sorted([*range(7), *range(5)])
+    assert readers.file_counts(sources).count() >= 3
+
+
+def test_streams_of_folders_of_part_files(spark, tmp_path):
+    rows = [(1, 0, "user", "mail me at a.b@example.com"), (2, 0, "user", "nothing here")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2).write.parquet(str(tmp_path / "c.parquet"))
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    for glob, n in (("c.parquet", 1), ("later.parquet", 0)):
+        src = stream.stream_pii(stream.events_stream(spark, str(tmp_path), schema, ts=None, glob=glob), ["text"])
+        found = stream.run_to_table(src)[0].collect()
+        assert [(r.conv_id, r.pii) for r in found] == [(1, "email")][:n]
+
+
 def test_late_rows_counted(spark, tmp_path):
     d = tmp_path / "ev"
     d.mkdir()
