@@ -15,15 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from synthkit.operators.validate import PII_PATTERNS
-from synthkit.session import scratch_dir
+from synthkit.session import folders_named, scratch_dir
 from synthkit.streaming.late import path_exists
 
 
 def events_stream(spark: SparkSession, path: str, schema: str, ts: str = "ts", glob: str | None = None,
                   max_files: int | None = None) -> DataFrame:
-    """File stream (the tested stand-in for Kafka) with event time cast to ``timestamp``."""
+    """File stream (the tested stand-in for Kafka) with event time cast to ``timestamp``.
+
+    ``glob`` names files in ``path``, or folders in it: these are read with all their files.
+    """
     r = spark.readStream.schema(schema).format("parquet")
-    if glob:
+    if glob and folders_named(spark, path, glob):
+        path = path.rstrip("/") + "/" + glob
+    elif glob:
         r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -56,8 +61,12 @@ def run_to_table(sdf: DataFrame, name: str = "stream", mode: str = "append", pro
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
+    if not path_exists(spark, out):  # nothing has arrived: no batch has run
+        if process:
+            raise ValueError("no input, so the result's columns are not known")
+        return spark.createDataFrame([], sdf.schema), q
     if process is None and keys is None:
-        return spark.read.parquet(out), q
+        return spark.read.schema(sdf.schema).parquet(out), q
     rows = spark.read.option("basePath", out).parquet(f"{out}/_batch=*")
     if keys:
         names = [c for c in rows.columns if c != "_batch"]
