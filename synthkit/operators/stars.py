@@ -29,9 +29,12 @@ def may_link(threshold: float, na: Column, nb: Column, ia: Column, ib: Column) -
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, sim) for pairs (a, b) of keys of ``sets`` (c, sh)."""
-    both = (pairs.join(sets.select(F.col("c").alias("a"), F.col("sh").alias("sa")), "a")
-            .join(sets.select(F.col("c").alias("b"), F.col("sh").alias("sb")), "b"))
+    """(a, b, sim) for pairs (a, b) of keys of ``sets`` (c, sh).
+
+    Arrays are planned as if they held one value, so whole sets could pass for a small table: they are never broadcast.
+    """
+    both = (pairs.join(sets.select(F.col("c").alias("a"), F.col("sh").alias("sa")).hint("merge"), "a")
+            .join(sets.select(F.col("c").alias("b"), F.col("sh").alias("sb")).hint("merge"), "b"))
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("sim"))
 

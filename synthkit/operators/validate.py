@@ -331,7 +331,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, threshold: f
     cls = rows.groupBy("h", "sh").agg(F.min("k").alias("c")).select("c", "h", "sh").checkpoint()
     grams = cls.select("c", F.explode("sh").alias("g"))
     freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    ordered = grams.join(freq, "g").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
+    # exploded arrays and whole sets are planned as far smaller than they are: merged, never broadcast
+    ordered = grams.join(freq.hint("merge"), "g").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o"))
     n = F.size("o")
     first = F.slice("o", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
     pre = ordered.select("c", n.alias("n"), F.posexplode(first).alias("i", "x")).where("x.f > 1").select(
@@ -341,8 +342,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, k: int = 5, threshold: f
     label = stars.spread_labels(cls, links)
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    named = cls.select("c", "h", "sh").join(label, "c").join(least, F.col("c") == F.col("a"), "left").select("h", "sh", "c", "rep", "least")
-    return rows.join(named, ["h", "sh"]).select(
+    named = cls.select("c", "h", "sh").hint("merge").join(label.hint("merge"), "c").join(
+        least, F.col("c") == F.col("a"), "left").select("h", "sh", "c", "rep", "least")
+    return rows.join(named.hint("merge"), ["h", "sh"]).select(
         F.col("k").alias(key), "rep", ((F.col("c") < F.col("k")) | F.coalesce(F.col("least") < F.col("k"), F.lit(False))).alias("near_dup"))
 
 

@@ -90,3 +90,14 @@ def test_text_keys(spark, monkeypatch):
     monkeypatch.setattr(stars.links, "__defaults__", (3, 2))
     texts = {10 + i: " ".join(f"x{i}" if j == i else f"w{j}" for j in range(60)) for i in range(12)}
     assert {r for r, _ in run(spark, texts, "string").values()} == {"10"}
+
+
+def test_whole_sets_and_grams_are_not_broadcast(spark):
+    docs = spark.range(40).select(F.col("id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(50)), lambda i: i + F.col("id") * 100)).alias("t"))
+    found = validate.near_duplicates(docs, "id", "t")
+    sets = spark.createDataFrame([(i, [i, i + 1]) for i in range(9)], "c long, sh array<long>")
+    pairs = spark.createDataFrame([(1, 2), (3, 8)], "a long, b long")
+    assert {(r.a, r.b, round(r.sim, 6)) for r in stars.similarities(pairs, sets).collect()} == {(1, 2, 0.333333), (3, 8, 0.0)}
+    for df in (found, stars.similarities(pairs, sets)):  # the plan before adaptive execution: made from estimates
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "sh#" in plan and not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "LeftOuter" not in x]
