@@ -105,8 +105,8 @@ def fingerprint_search(spark, sf_dir):
     found = materialize(fingerprints(docs, "row", "text", ["doc_id"]), "fingerprints")
     queries = found.where(F.col("doc_id") % 50 == 0)
     counts = found.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    near = near_fingerprints(queries, found).join(counts, "fingerprint").groupBy("query").agg(F.sum("n").alias("n_near"))
-    return queries.join(near, F.col("fingerprint") == F.col("query")).select(
+    near = near_fingerprints(queries, found).hint("merge").join(counts.hint("merge"), "fingerprint").groupBy("query").agg(F.sum("n").alias("n_near"))
+    return queries.hint("merge").join(near.hint("merge"), F.col("fingerprint") == F.col("query")).select(
         "doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "n_near")
 
 

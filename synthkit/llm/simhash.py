@@ -111,8 +111,9 @@ def near_fingerprints(queries: DataFrame, base: DataFrame, radius: int = 3, bloc
     differ = F.col("query").bitwiseXOR(F.col("fingerprint"))
     table = reduce(lambda rest, tm: F.when(differ.bitwiseAND(F.lit(tm[1])) == 0, F.lit(tm[0])).otherwise(rest),
                    reversed(list(enumerate(masks))), F.lit(-1))
+    # both sides grow with the rows, but a written table of fingerprints looks small: joined by shuffles, never broadcast
     met = (q["t"] == b["t"]) & (q["k"] == b["k"]) & (F.bit_count(differ) <= radius) & (table == q["t"])
-    return q.join(b, met).select("query", "fingerprint", F.bit_count(differ).cast("int").alias("distance"))
+    return q.hint("merge").join(b.hint("merge"), met).select("query", "fingerprint", F.bit_count(differ).cast("int").alias("distance"))
 
 
 def _range_of(order: Column, cuts: list[int]) -> Column:

@@ -274,3 +274,10 @@ def test_copies_of_a_hot_url_do_not_fill_the_training_sample(spark):
     model = url_filter.train(rows.union(hot), most=40)
     assert model.model is not None and 0.2 < model.overall < 0.8
     assert model.overall == url_filter.train(rows, most=40).overall
+
+
+def test_fingerprint_tables_are_not_broadcast(spark):
+    from synthkit.llm.common import materialize
+    found = materialize(spark.range(500).select((F.col("id") * 977).alias("fingerprint")), "prints")  # a small file, twenty keys a row
+    near = simhash.near_fingerprints(found.where("fingerprint % 50 = 0"), found)
+    assert "Broadcast" not in near._jdf.queryExecution().sparkPlan().toString() and near.where("distance = 0").count() == 10
