@@ -290,6 +290,23 @@ def test_toxicity_learns_held_out_texts(spark):
     assert np.isclose(toxicity.Scorer(net, most=10)(rows[0][1]), got[0].toxicity, atol=1e-5)
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 200)
+    rows = toxic_corpus(1600)
+    long = " ".join(f"w{i % 300}" for i in range(9000))  # over 30,000 characters: these alone hold a word of their own
+    rows += [(2000 + i, f"{long} w{i} hatefulword", "en", 1) for i in range(30)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] * 2, "doc_id long, toxic int")
+    found, shares = toxicity.labelled_rows(docs.union(docs), labels)
+    assert found.count() == len(rows) == sum(shares.values()) and found.where("length(text) > 30000").count() == 30
+    net = toxicity.train(docs, labels, epochs=6)
+    new = spark.createDataFrame([(1, "w1 hatefulword w2", "en"), (2, "w1 w2 w3 w4", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.toxicity for r in toxicity.score_texts(new, net).collect()}
+    assert got[1] > 0.5 > got[2]
+    again = toxicity.train(docs.repartition(7), labels.repartition(3), epochs=6)  # shards are summed in order
+    assert np.allclose(again.out, net.out) and again.thresholds == net.thresholds
+
+
 def test_toxicity_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1), (5, 0), (8, 1), (8, 0), (99, 1), (None, 1), (7, None)], "doc_id long, toxic int")
     net = toxicity.train(edge, labels, lang_col=None)
