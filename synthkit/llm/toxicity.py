@@ -26,7 +26,10 @@ from __future__ import annotations
 import copy
 import re
 import zlib
+from array import array
+from collections import defaultdict
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthkit.llm.common import free_name, materialize, scan, worker_table
+from synthkit.llm.common import free_name, materialize, release, scan, worker_table
 
 BUCKETS, DIM = 1 << 15, 16
 WIDTHS, FILTERS = (1, 2, 3), 10
@@ -55,20 +58,36 @@ def words(text: str | None) -> list[str]:
 
 def features(word: str) -> list[int]:
     """Hash buckets of a word, its beginnings and endings."""
-    w = "^" + word + "$"
-    parts = [w, *(w[:k + 1] for k in range(3, 7) if len(word) > k), *([w[-5:]] if len(word) > 4 else [])]
-    return [zlib.crc32(p.encode()) & (BUCKETS - 1) for p in parts]
+    w, n = "^" + word + "$", len(word)
+    b = w.encode()
+    if len(b) == n + 2:  # ASCII: cut as bytes
+        parts = [b, *[b[:k + 1] for k in range(3, min(7, n))]]
+        if n > 4:
+            parts.append(b[-5:])
+    else:
+        parts = [b, *[w[:k + 1].encode() for k in range(3, min(7, n))], *([w[-5:].encode()] if n > 4 else [])]
+    return [zlib.crc32(p) & (BUCKETS - 1) for p in parts]
 
 
 def feature_table(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(words, _FEATURES) bucket numbers, filled with the empty bucket, and 1 / count."""
-    ids = np.full((len(vocabulary), _FEATURES), BUCKETS, np.int32)
-    share = np.zeros((len(vocabulary), 1), np.float32)
-    for i, w in enumerate(vocabulary):
+    empty = [[BUCKETS] * (_FEATURES - n) for n in range(_FEATURES + 1)]
+    flat, counts = array("i"), array("b")
+    for w in vocabulary:
         f = features(w)
-        ids[i, :len(f)] = f
-        share[i] = 1 / len(f)
-    return ids, share
+        flat.extend(f + empty[len(f)])
+        counts.append(len(f))
+    ids = np.frombuffer(flat, np.int32) if vocabulary else np.zeros(0, np.int32)
+    n = np.frombuffer(counts, np.int8) if vocabulary else np.zeros(0, np.int8)
+    return ids.reshape(-1, _FEATURES).copy(), (1 / n.astype(np.float64)).astype(np.float32)[:, None]
+
+
+def embedded(embedding: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Sum of the embeddings of each row of bucket numbers, a feature at a time."""
+    total = embedding.take(ids[:, 0], axis=0)
+    for j in range(1, _FEATURES):
+        total += embedding.take(ids[:, j], axis=0)
+    return total
 
 
 @dataclass
@@ -94,21 +113,21 @@ class Network:
     def projections(self, vocabulary: list[str]) -> np.ndarray:
         """(words, sum(WIDTHS) * FILTERS): what a word adds to each filter at each of its offsets."""
         ids, share = feature_table(vocabulary)
-        e = self.embedding[ids].sum(axis=1) * share
+        e = embedded(self.embedding, ids) * share
         return np.concatenate([e @ f[j * DIM:(j + 1) * DIM] for w, f in zip(WIDTHS, self.filters) for j in range(w)], axis=1)
 
     def output(self, rows: np.ndarray) -> float:
         """The raw output (log odds) from the projections of a text's words in order."""
         n = len(rows)
-        full = np.zeros((max(n, 1) + max(WIDTHS) - 1, rows.shape[1]), np.float32)  # texts end in empty words
-        full[:n] = rows
+        m = max(n, 1)
+        full = np.zeros((rows.shape[1], m + max(WIDTHS) - 1), np.float32)  # texts end in empty words
+        full[:, :n] = rows.T  # a row for each filter and offset: sums and maxima run along the text
         pooled, at = [], 0
         for w, b in zip(WIDTHS, self.bias):
-            m = len(full) - max(WIDTHS) + 1
-            total = full[:m, at:at + FILTERS].copy()
+            total = full[at:at + FILTERS, :m]
             for j in range(1, w):
-                total += full[j:j + m, at + j * FILTERS:at + (j + 1) * FILTERS]
-            pooled.append(np.maximum(total.max(axis=0) + b, 0))
+                total = total + full[at + j * FILTERS:at + (j + 1) * FILTERS, j:j + m]
+            pooled.append(np.maximum(total.max(axis=1) + b, 0))
             at += w * FILTERS
         return float(np.concatenate(pooled) @ self.out) + self.out_bias
 
@@ -153,15 +172,30 @@ class State:
         self.net.out_bias, self.bias_square = float(dense[at]), float(dense[at + 1])
 
 
+def numbered() -> defaultdict:
+    """A dictionary that gives each new key the next number."""
+    index: defaultdict[str, int] = defaultdict()
+    index.default_factory = index.__len__
+    return index
+
+
 def indexed(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(word numbers of each text, feature table of the words, 1 / count of features, texts that hold each bucket)."""
-    index: dict[str, int] = {"": 0}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words(t)] + [0] * (max(WIDTHS) - 1 + (not t)), np.int64) for t in texts]
+    index = numbered()
+    end = np.zeros(max(WIDTHS), np.int32 if sum(map(len, texts)) < 2**31 else np.int64)
+    number, docs = index.__getitem__, []
+    number("")
+    for t in texts:
+        found = words(t)
+        seq = np.fromiter(map(number, found), end.dtype, len(found))
+        docs.append(np.concatenate([seq, end[:max(WIDTHS) - 1 + (not t)]]))
     ids, share = feature_table(list(index))
     ids[0], share[0] = BUCKETS, 0
     seen = np.zeros(BUCKETS + 1, np.int64)
     for seq in docs:
-        seen[np.unique(ids[np.unique(seq)])] += 1
+        held = np.zeros(BUCKETS + 1, bool)
+        held[ids[seq]] = True
+        seen += held
     return docs, ids, share, seen
 
 
@@ -184,7 +218,7 @@ def fit(state: State, texts: list[str], labels: list[int], rare: np.ndarray, cla
             for d in chosen:
                 seq = docs[d]
                 m = len(seq) - max(WIDTHS) + 1
-                e = net.embedding[ids[seq]].sum(axis=1) * share[seq]
+                e = embedded(net.embedding, ids.take(seq, axis=0)) * share[seq]
                 best, best_at = [], []
                 for w, f, b in zip(WIDTHS, net.filters, net.bias):
                     total = e[:m] @ f[:DIM]
@@ -226,7 +260,7 @@ class Scorer:
 
     def __init__(self, net: Network, most: int = 250_000):
         self.net, self.most = net, most
-        self.index: dict[str, int] = {}
+        self.index = numbered()
         self.rows = np.zeros((most, sum(WIDTHS) * FILTERS), np.float32)
 
     def __call__(self, text: str | None) -> float:
@@ -236,20 +270,18 @@ class Scorer:
         found = words(text)
         if not found:
             return self.net.output(self.rows[:0])
-        index = self.index
-        at = [index.get(w, -1) for w in found]
-        if -1 in at:
-            new = list(dict.fromkeys(w for w, i in zip(found, at) if i < 0))
-            if len(index) + len(new) > self.most:
+        index, known = self.index, len(self.index)
+        at = list(map(index.__getitem__, found))
+        if len(index) > self.most:
+            index.clear()
+            known, at = 0, list(map(index.__getitem__, found))
+            if len(index) > self.most:  # a text with more distinct words than the table holds
                 index.clear()
-                new = list(dict.fromkeys(found))
-            if len(new) > self.most:  # a text with more distinct words than the table holds
                 return self.net.output(self.net.projections(found))
-            first = len(index)
-            self.rows[first:first + len(new)] = self.net.projections(new)
-            index.update(zip(new, range(first, first + len(new))))
-            at = [index[w] for w in found]
-        return self.net.output(self.rows[at])
+        if len(index) > known:
+            new = list(islice(reversed(index), len(index) - known))[::-1]
+            self.rows[known:len(index)] = self.net.projections(new)
+        return self.net.output(self.rows.take(at, axis=0))
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -291,6 +323,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def _sums(pieces: DataFrame) -> dict[int, np.ndarray]:
     """Sum of the arrays (``body``: doubles) of each ``part``, over the shards in order."""
     def add(batches):
+        release()
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for part, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -304,6 +337,7 @@ def _sums(pieces: DataFrame) -> dict[int, np.ndarray]:
 def _by_shard(rows: DataFrame, shards: int, run) -> DataFrame:
     """(part, shard, body) of the arrays that ``run(shard, texts, labels)`` gives for each shard's rows, by order of a hash."""
     def of(key, pdf):
+        release()  # training needs the room of what an earlier step left in the worker
         pdf = pdf.assign(order=[zlib.crc32(str(i).encode(), 1) for i in pdf["id"]]).sort_values(["order", "id"])
         arrays = run(int(key[0]), list(pdf["text"]), [int(v) for v in pdf["y"]])
         return pd.DataFrame({"part": list(arrays), "shard": int(key[0]), "body": [v.astype(np.float64).tobytes() for v in arrays.values()]})
