@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthkit.llm.common import free_name, materialize, scan
+from synthkit.llm.common import free_name, materialize, release, scan
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -169,6 +169,7 @@ def natural_chains(docs: DataFrame, text_col: str = "text") -> dict[str, np.ndar
     side = len(_ORDER) + 1
 
     def count(batches):
+        release()
         for b in batches:
             n = pair_counts([t for t in b.column(0).to_pylist() if t])
             at = np.flatnonzero(n)
@@ -215,14 +216,26 @@ def random_runs(text: str, chains: dict[str, np.ndarray]) -> list[dict]:
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, q: float = Q) -> DataFrame:
-    """The ``keep`` columns (all by default) plus ``base`` and ``spans``: sorted structs (start, kind, end).
+    """The ``keep`` columns (all by default) plus ``base`` and ``spans``: sorted structs (start, kind, end)."""
+    keep = docs.columns if keep is None else keep
+    found, base, runs, least = _candidates(docs, text_col, keep, q)
+    both, spans = free_name(found, "both"), free_name(docs, "spans")
+
+    def pick(column):
+        return [pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in merged_spans(x, y, least)]
+                          for x, y in zip(column.field(0).to_pylist(), column.field(1).to_pylist())], _BASE_ARROW)]
+
+    picked = found.withColumn(both, F.struct(F.col(base), F.col(runs)))
+    return scan(picked, [T.StructField(spans, _BASE)], both, pick, keep=[*keep, base])
+
+
+def _candidates(docs: DataFrame, text_col: str, keep: list[str], q: float) -> tuple[DataFrame, str, str, dict[tuple[str, int], int]]:
+    """(``keep`` columns with the base spans and the candidate runs, the names of these two, the thresholds).
 
     One scan of the texts for the natural chains; one for the candidates, written to the shared folder; then
     the counts by (encoding, band, bin) of all candidates give the threshold of each encoding and band.
     """
-    keep = docs.columns if keep is None else keep
     base, runs = free_name(docs, "base"), free_name(docs, "runs")
-    spans = free_name(docs, "spans")
     chains = natural_chains(docs, text_col)
 
     def find(column):
@@ -232,15 +245,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
                 pa.array([random_runs(t, chains) for t in texts], _RUNS_ARROW)]
 
     found = materialize(scan(docs, [T.StructField(base, _BASE), T.StructField(runs, _RUNS)], text_col, find, keep), "secrets")
-    least = thresholds(found.select(F.inline(runs)), q)
-    both = free_name(found, "both")
-
-    def pick(column):
-        return [pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in merged_spans(x, y, least)]
-                          for x, y in zip(column.field(0).to_pylist(), column.field(1).to_pylist())], _BASE_ARROW)]
-
-    picked = found.withColumn(both, F.struct(F.col(base), F.col(runs)))
-    return scan(picked, [T.StructField(spans, _BASE)], both, pick, keep=[*keep, base])
+    return found, base, runs, thresholds(found.select(F.inline(runs)), q)
 
 
 def merged_spans(base: list[dict], runs: list[dict], least: dict[tuple[str, int], int]) -> list[tuple[int, int, int]]:
@@ -283,25 +288,29 @@ def spans_text(spans) -> F.Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", put: str = "[SECRET]", q: float = Q) -> DataFrame:
-    """``docs`` with every span replaced by ``put``, same columns (``length_col`` follows the new text)."""
-    found = scan_secrets(docs, text_col, q=q)
-    spans = found.columns[-1]
+    """``docs`` with every span replaced by ``put``, same columns (``length_col`` follows the new text).
+
+    The spans are picked and cut in one scan: of two in a row each task would hold two Python workers.
+    """
+    found, base, runs, least = _candidates(docs, text_col, docs.columns, q)
 
     def cut(column):
         out = []
-        for text, where in zip(column.field(0), column.field(1)):
-            text, at, parts = text.as_py(), 0, []
-            for s in where.as_py() or ():
-                if s["end"] > at:
-                    parts += [text[at:s["start"]], put] if s["start"] >= at else []
-                    at = s["end"]
-            out.append(text if text is None or not at else "".join([*parts, text[at:]]))
+        for text, x, y in zip(column.field(0), column.field(1), column.field(2)):
+            where, at, parts = merged_spans(x.as_py(), y.as_py(), least), 0, []
+            text = text.as_py() if where else None
+            for start, _, end in where:
+                if end > at:
+                    parts += [text[at:start], put] if start >= at else []
+                    at = end
+            out.append("".join([*parts, text[at:]]) if where else None)
         return [pa.array(out, pa.string())]
 
     both, new = free_name(found, "both"), free_name(found, "redacted")
-    hit = F.size(F.col(spans)) > 0
-    found = found.withColumn(both, F.struct(F.when(hit, F.col(f"`{text_col}`")), F.col(spans)))
-    done = scan(found, [T.StructField(new, T.StringType())], both, cut, keep=[*docs.columns, spans])
+    some = (F.size(F.col(base)) > 0) | (F.size(F.col(runs)) > 0)
+    found = found.withColumn(both, F.struct(F.when(some, F.col(f"`{text_col}`")), F.col(base), F.col(runs)))
+    done = scan(found, [T.StructField(new, T.StringType())], both, cut, keep=docs.columns)
+    hit = F.col(new).isNotNull()
     text = F.coalesce(F.col(new), F.col(f"`{text_col}`"))
     return done.select(*[text.alias(c) if c == text_col else
                          F.when(hit, F.char_length(text).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c)
