@@ -58,3 +58,14 @@ def test_nan_null_and_infinite_values(spark):
     got = [(r.column, r.prob, r.value) for r in quantiles(df, ["x", "y"], [0.0, 0.5, 1.0]).orderBy("prob").collect()]
     assert got == [("x", 0.0, -5.0), ("x", 0.5, 1.0), ("x", 1.0, float("inf"))]
     assert quantiles(df.limit(0), ["x"], [0.5]).count() == 0
+
+
+def test_brackets_are_compared_without_functions_of_arrays(spark, monkeypatch):
+    df, _ = _table(spark, 3000, 3)
+    ends = {"a": [(-1.0, -0.5), (0.2, 0.4)], "d": [(float("-inf"), 0.1), (1.0, float("inf"))]}
+    found = brackets.bracket_counts(df, {c: F.col(c) for c in ends}, ends)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.dtypes == [("column", "string"), ("at", "struct<region:int,x:double>"), ("cnt", "bigint")]
+    monkeypatch.setattr(brackets, "PLAIN", 0)  # as for many brackets
+    many = brackets.bracket_counts(df, {c: F.col(c) for c in ends}, ends)
+    assert sorted(map(str, found.collect())) == sorted(map(str, many.collect()))
