@@ -14,23 +14,31 @@ The tree's tables grow with the points (one row a node); they are joined by node
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthkit.operators.ordering import written
 
 _ROOT = "0"
+_WRITTEN_OUT = 16  # columns up to which distances are written out
 _CUTS = [i / 16 for i in range(1, 16)]
 
 
-def _box_distance(x: Column, lo: Column, hi: Column) -> Column:
-    """Squared distance of a point from a box (0 inside)."""
+def _box_distance(x: Column, lo: Column, hi: Column, dims: int) -> Column:
+    """Squared distance of a point from a box (0 inside); written out for few columns, as nested functions of arrays cost far more."""
+    if dims <= _WRITTEN_OUT:
+        return reduce(add, [F.pow(F.greatest(lo[i] - x[i], x[i] - hi[i], F.lit(0.0)), F.lit(2.0)) for i in range(dims)])
     below = F.zip_with(x, lo, lambda a, b: F.greatest(b - a, F.lit(0.0)))
     above = F.zip_with(x, hi, lambda a, b: F.greatest(a - b, F.lit(0.0)))
     return F.aggregate(F.zip_with(below, above, lambda p, q: p * p + q * q), F.lit(0.0), lambda s, v: s + v)
 
 
-def _distance(x: Column, y: Column) -> Column:
+def _distance(x: Column, y: Column, dims: int) -> Column:
+    if dims <= _WRITTEN_OUT:
+        return reduce(add, [F.pow(x[i] - y[i], F.lit(2.0)) for i in range(dims)])
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
@@ -71,20 +79,20 @@ def split_tree(points: DataFrame, dims: int, leaf: int = 32) -> tuple[list[DataF
     return levels, found.withColumnRenamed("node", "leaf")
 
 
-def nearest(queries: DataFrame, levels: list[DataFrame], leaves: DataFrame) -> DataFrame:
-    """(x, distance, compared) of distinct query points ``x``: the exact distance to the nearest point of the
+def nearest(queries: DataFrame, levels: list[DataFrame], leaves: DataFrame, dims: int) -> DataFrame:
+    """(x, distance, compared) of distinct query points ``x`` of ``dims`` columns: the exact distance to the nearest point of the
     tree, and how many points it was compared with."""
-    best = F.array_min(F.transform("points", lambda p: _distance(F.col("x"), p)))
+    best = F.array_min(F.transform("points", lambda p: _distance(F.col("x"), p, dims)))
     walk = queries.select("x", F.lit(_ROOT).alias("node"))
     for level in levels:  # a leaf ends the walk early: it has no children
         near = F.array_min(F.transform("children", lambda c: F.struct(
-            _box_distance(F.col("x"), c["lo"], c["hi"]).alias("d"), c["node"].alias("node"))))["node"]
+            _box_distance(F.col("x"), c["lo"], c["hi"], dims).alias("d"), c["node"].alias("node"))))["node"]
         walk = walk.join(level, "node", "left").select("x", F.coalesce(near, "node").alias("node"))
     bound = written(walk.join(leaves, F.col("node") == F.col("leaf")).select(
         "x", best.alias("bound"), F.size("points").alias("n"), F.col("leaf").alias("home")), "bounds")
     walk = bound.select("*", F.lit(_ROOT).alias("node"))
     for level in levels:
-        inner = F.filter("children", lambda c: _box_distance(F.col("x"), c["lo"], c["hi"]) < F.col("bound"))
+        inner = F.filter("children", lambda c: _box_distance(F.col("x"), c["lo"], c["hi"], dims) < F.col("bound"))
         nodes = F.when(F.col("children").isNull(), F.array("node")).otherwise(F.transform(inner, lambda c: c["node"]))
         walk = walk.join(level, "node", "left").select("x", "bound", "n", "home", F.explode(nodes).alias("node"))
     other = walk.where(F.col("node") != F.col("home")).join(leaves, F.col("node") == F.col("leaf")).select(

@@ -453,5 +453,5 @@ def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str
         return queries.select(syn_key, F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("compared")).select(*out).limit(0)
     levels, leaves = split_tree(points, len(cols), leaf)
     queries = written(queries, "queries")
-    found = nearest(queries.select("x").distinct(), levels, leaves)
+    found = nearest(queries.select("x").distinct(), levels, leaves, len(cols))
     return queries.join(found, "x").select(*out)

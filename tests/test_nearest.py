@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from synthkit.operators import validate
+from synthkit.operators import nearest, validate
 
 
 def rows_of(rng, n, dims, kind):
@@ -54,3 +55,20 @@ def test_compared_rows_grow_linearly_on_dense_clusters(spark):
         found = validate.nearest_source(src, syn, cols, "id", with_compared=True)
         per_row.append(found.selectExpr("sum(compared) / count(*)").first()[0])
     assert per_row[1] < 1.5 * per_row[0] < 600
+
+
+def test_distances_of_few_columns_are_written_out(spark, monkeypatch):
+    """Nested functions of arrays (zip_with, aggregate) run for every child and point of a query: most of the time at size."""
+    rng = np.random.default_rng(9)
+    src, cols = frame(spark, rows_of(rng, 600, 3, "clusters"))
+    syn, _ = frame(spark, rows_of(rng, 200, 3, "clusters"), key=True)
+    found = validate.nearest_source(src, syn, cols, "id", leaf=16)
+    assert not any(f in found._jdf.queryExecution().optimizedPlan().toString() for f in ("zip_with", "zipwith", "aggregate(transform", "lambda v"))
+    x, lo, hi = ([0.0, 3.0, -2.0], [-1.0, 0.0, 1.0], [1.0, 2.0, 4.0])
+    one = spark.createDataFrame([(x, lo, hi)], "x array<double>, lo array<double>, hi array<double>")
+    both = lambda: one.select(nearest._box_distance(F.col("x"), F.col("lo"), F.col("hi"), 3), nearest._distance(F.col("x"), F.col("lo"), 3)).first()
+    few = tuple(both())
+    monkeypatch.setattr(nearest, "_WRITTEN_OUT", 0)
+    assert few == tuple(both()) == (10.0, 19.0)
+    many = {r.id: r.distance for r in validate.nearest_source(src, syn, cols, "id", leaf=16).collect()}
+    assert {r.id: r.distance for r in found.collect()} == many
