@@ -101,3 +101,16 @@ def test_whole_sets_and_grams_are_not_broadcast(spark):
     for df in (found, stars.similarities(pairs, sets)):  # the plan before adaptive execution: made from estimates
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and "sh#" in plan and not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "LeftOuter" not in x]
+
+
+def test_estimated_sizes_do_not_multiply_over_the_rounds(spark, monkeypatch):
+    """A join multiplies the estimates of its sides: kept over the rounds, their digits alone filled the driver."""
+    monkeypatch.setattr(stars.links, "__defaults__", (3, 3))
+    monkeypatch.setattr(stars, "PER_MEMBER", 0)
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    sets = spark.range(40).select(F.col("id").alias("c"), F.sequence(3 * F.col("id"), 3 * F.col("id") + 39).alias("sh"))  # a chain
+    members = sets.select(F.explode("sh").alias("g"), "c", F.lit(40).alias("n"), F.lit(1).alias("i"))
+    links = stars.links(members, sets, 0.8)
+    label = stars.spread_labels(sets, links)
+    assert label.groupBy("rep").count().count() == 1 and links.count() >= 39
+    assert bits(label) < 40 and bits(links) < 40
