@@ -437,8 +437,8 @@ def source_leak(src: DataFrame, syn: DataFrame, cols: list[str]) -> DataFrame:
 def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str, leaf: int = 32, with_compared: bool = False) -> DataFrame:
     """Exact distance from each synthetic row to its closest source row (columns standardised by the source).
 
-    Any number of columns and any density: a quantile split tree with leaves of up to ``leaf`` rows, searched by
-    branch and bound (:mod:`synthkit.operators.nearest`).  ``with_compared`` adds how many source rows each row
+    Any number of columns and any density: a quantile split tree of cells, each halved to leaves of up to ``leaf`` rows, searched
+    by branch and bound (:mod:`synthkit.operators.nearest`).  ``with_compared`` adds how many source rows each row
     was compared with.  Rows with a null in some column take no part; without complete source rows the result
     is empty.
     """
@@ -449,7 +449,7 @@ def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str
     queries = syn.dropna(subset=cols).select(syn_key, z.alias("x"))
     if points.isEmpty():
         return queries.select(syn_key, F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("compared")).select(*out).limit(0)
-    levels, leaves = split_tree(points, len(cols), leaf)
+    levels, cells = split_tree(points, len(cols))
     queries = written(queries, "queries")
-    found = nearest(queries.select("x").distinct(), levels, leaves, len(cols))
+    found = nearest(queries.select("x").distinct(), levels, cells, len(cols), leaf)
     return queries.join(found, "x").select(*out)
