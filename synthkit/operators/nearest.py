@@ -5,12 +5,11 @@ column in which its box is widest, at some sixteen quantiles from a mergeable sk
 value, so that every split makes progress whatever the ties); a level is two aggregates by node.  Dense regions
 just get more cells: every cell holds ``cell`` points at most.
 
-A query walks to the nearest box on each level, which ends in a cell.  The queries and points of a cell meet in one
+A query walks down by the cuts of its nodes' columns, which ends in a cell.  The queries and points of a cell meet in one
 task, which halves the points down to leaves of ``leaf`` points and searches these by branch and bound, all queries at
 once.  Where the distance found stays inside the cell's box, nothing else can be nearer.  The other queries walk
 again, to all boxes nearer than that bound, and the cells they reach decide.  So a query meets a few leaves
-whatever the number of points, their density and their clusters.  Equal queries walk once; many queries of one cell are
-dealt to several tasks.
+whatever the number of points, their density and their clusters.  Many queries of one cell are dealt to several tasks.
 
 The tree's tables grow with the points (one row a node); they are joined by node and never collected.
 """
@@ -50,10 +49,16 @@ def _distance(x: Column, y: Column, dims: int) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
+def _side() -> Column:
+    """The number of ``cuts`` below ``x`` along ``axis``."""
+    return F.size(F.filter("cuts", lambda v: F.element_at("x", F.col("axis")) > v))
+
+
 def split_tree(points: DataFrame, dims: int, cell: int = CELL) -> tuple[list[DataFrame], DataFrame]:
     """(levels, cells) of the distinct points ``x`` (array of doubles, not empty, no null).
 
-    A level has one row for each split node: ``node`` and ``children`` (node, lo, hi).  Cells: ``node``, ``x``.
+    A level has one row for each split node: ``node``, ``children`` (node, lo, hi), and the ``way`` (the child for each side of
+    the ``cuts`` along ``axis``).  Cells: ``node``, ``x``.
     """
     rows = written(points.select("x").distinct().withColumn("node", F.lit(_ROOT)), "tree")
     levels, cells = [], []
@@ -62,8 +67,11 @@ def split_tree(points: DataFrame, dims: int, cell: int = CELL) -> tuple[list[Dat
         boxes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), first.alias("lo"), last.alias("hi")), "boxes")
         if levels:  # the children of the level above
             parent = F.regexp_replace("node", r"\.[0-9]+$", "")
+            sides = F.transform("children", lambda c: F.regexp_extract(c["node"], "[0-9]+$", 0).cast("int"))
+            child = lambda i: F.concat_ws(".", "node", F.array_max(F.filter(sides, lambda s: s <= i)).cast("string"))  # noqa: E731  a side may be empty
             levels[-1] = written(boxes.groupBy(parent.alias("node")).agg(
-                F.sort_array(F.collect_list(F.struct(F.col("node"), "lo", "hi"))).alias("children")), "level")
+                F.sort_array(F.collect_list(F.struct(F.col("node"), "lo", "hi"))).alias("children")).join(cuts, "node").withColumn(
+                "way", F.transform(F.sequence(F.lit(0), F.size("cuts")), child)), "level")
         large = boxes.where(F.col("n") > cell)
         if large.isEmpty():
             cells.append(rows)
@@ -76,10 +84,9 @@ def split_tree(points: DataFrame, dims: int, cell: int = CELL) -> tuple[list[Dat
         cuts = inside.groupBy("node").agg(F.percentile_approx(value, _CUTS, 400).alias("q"), F.first("axis").alias("axis"),
                                           F.first(low).alias("low"), F.first(high).alias("high"))
         just_below = F.col("high") - F.greatest((F.col("high") - F.col("low")) * 1e-15, F.abs("high") * 2e-16)
-        cuts = cuts.select("node", "axis", F.filter(F.sort_array(F.array_distinct(F.concat("q", F.array("low", just_below)))),
-                                                    lambda v: v < F.col("high")).alias("cuts"))
-        side = F.size(F.filter("cuts", lambda v: F.element_at("x", F.col("axis")) > v))
-        rows = written(rows.join(written(cuts, "cuts"), "node").select("x", F.concat_ws(".", "node", side.cast("string")).alias("node")), "tree")
+        cuts = written(cuts.select("node", "axis", F.filter(F.sort_array(F.array_distinct(F.concat("q", F.array("low", just_below)))),
+                                                            lambda v: v < F.col("high")).alias("cuts")), "cuts")
+        rows = written(rows.join(cuts, "node").select("x", F.concat_ws(".", "node", _side().cast("string")).alias("node")), "tree")
         levels.append(None)
     return levels, reduce(DataFrame.unionByName, cells)
 
@@ -142,49 +149,47 @@ def search(queries: np.ndarray, points: np.ndarray, leaf: int) -> tuple[np.ndarr
 
 
 def _met(queries: DataFrame, cells: DataFrame, dims: int, leaf: int) -> DataFrame:
-    """(x, node, y, n, margin): the nearest point ``y`` of its cell for each query (x, node), the points compared, and how far the
-    query lies inside the box of the cell's points (under 0: outside)."""
+    """The queries (key, x, node), each with the nearest point ``y`` of its cell, the number ``n`` of points compared, and how far
+    the query lies inside the box of the cell's points (``margin``; under 0: outside)."""
     many = written(queries.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).alias("parts")).where("parts > 1"), "parts")
+    schema = queries.select("key", "x", "node", F.col("x").alias("y"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("margin")).schema
+    keys = ["node"]
     if not many.isEmpty():  # the points of such a cell come once for each part of its queries
         parts = F.coalesce("parts", F.lit(1))
-        queries = queries.join(many, "node", "left").select("x", "node", F.pmod(F.xxhash64("x"), parts).alias("part"))
+        queries = queries.join(many, "node", "left").select("key", "x", "node", F.pmod(F.xxhash64("key", "x"), parts).alias("part"))
         cells = cells.join(many, "node", "left").select("x", "node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    keys = [c for c in queries.columns if c != "x"]
+        keys = ["node", "part"]
 
     def rows(table: pa.Table) -> np.ndarray:
         return table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
-    def lists(x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(np.arange(0, x.size + 1, dims, dtype=np.int32), np.ascontiguousarray(x).reshape(-1))
-
-    def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
         x, points = rows(left), rows(right)
         at, n = search(x, points, leaf) if len(x) else (np.zeros(0, np.int64),) * 2
         margin = np.minimum(x - points.min(axis=0), points.max(axis=0) - x).min(axis=1)
-        return pa.table({"x": lists(x), "node": pa.array([key[0].as_py()] * len(x), pa.string()), "y": lists(points[at]), "n": n, "margin": margin})
+        y = pa.ListArray.from_arrays(np.arange(0, x.size + 1, dims, dtype=np.int32), points[at].reshape(-1))
+        return pa.table({"key": left["key"], "x": left["x"], "node": left["node"], "y": y, "n": n, "margin": margin})
 
-    return queries.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(
-        one, "x array<double>, node string, y array<double>, n bigint, margin double")
+    return queries.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(one, schema)
 
 
 def nearest(queries: DataFrame, levels: list[DataFrame], cells: DataFrame, dims: int, leaf: int = 32) -> DataFrame:
-    """(x, distance, compared) of distinct query points ``x`` of ``dims`` columns: the exact distance to the nearest point of the
-    tree, and how many points it was compared with."""
+    """(key, distance, compared) of queries (key, x), ``x`` of ``dims`` columns: the exact distance to the nearest point of the tree,
+    and how many points it was compared with."""
     bound = _distance(F.col("x"), F.col("y"), dims).alias("bound")
-    walk = queries.select("x", F.lit(_ROOT).alias("node"))
-    for level in levels:  # a cell ends the walk early: it has no children
-        near = F.array_min(F.transform("children", lambda c: F.struct(
-            _box_distance(F.col("x"), c["lo"], c["hi"], dims).alias("d"), c["node"].alias("node"))))["node"]
-        walk = walk.join(level, "node", "left").select("x", F.coalesce(near, "node").alias("node"))
-    first = written(_met(written(walk, "homes"), cells, dims, leaf).select("x", F.col("node").alias("home"), bound, "n", "margin"), "bounds")
+    walk = queries.select("key", "x", F.lit(_ROOT).alias("node"))
+    for level in levels:  # a cell ends the walk early: it has no cuts
+        walk = walk.join(level.drop("children"), "node", "left").select(
+            "key", "x", F.coalesce(F.element_at("way", _side() + 1), "node").alias("node"))
+    first = written(_met(written(walk, "homes"), cells, dims, leaf).select("key", "x", F.col("node").alias("home"), bound, "n", "margin"), "bounds")
     inside = (F.col("margin") >= 0) & (F.col("bound") <= F.col("margin") * F.col("margin"))
     crossing = first.where(~inside)
-    walk = crossing.select("x", "bound", "home", F.lit(_ROOT).alias("node"))
+    walk = crossing.select("x", "bound", "home", F.lit(_ROOT).alias("node")).distinct()
     for level in levels:
         inner = F.filter("children", lambda c: _box_distance(F.col("x"), c["lo"], c["hi"], dims) < F.col("bound"))
         nodes = F.when(F.col("children").isNull(), F.array("node")).otherwise(F.transform(inner, lambda c: c["node"]))
-        walk = walk.join(level, "node", "left").select("x", "bound", "home", F.explode(nodes).alias("node"))
-    other = written(walk.where(F.col("node") != F.col("home")).select("x", "node"), "others")
-    more = _met(other, cells, dims, leaf).select("x", bound, "n")
-    decided = crossing.select("x", "bound", "n").unionByName(more).groupBy("x").agg(F.min("bound").alias("bound"), F.sum("n").alias("n"))
-    return first.where(inside).select("x", "bound", "n").unionByName(decided).select("x", F.sqrt("bound").alias("distance"), F.col("n").alias("compared"))
+        walk = walk.join(level.select("node", "children"), "node", "left").select("x", "bound", "home", F.explode(nodes).alias("node"))
+    other = written(walk.where(F.col("node") != F.col("home")).select(F.lit(0).alias("key"), "x", "node"), "others")
+    more = _met(other, cells, dims, leaf).select("x", bound, "n").groupBy("x").agg(F.min("bound").alias("near"), F.sum("n").alias("more"))
+    decided = crossing.join(more, "x", "left").select("key", F.least("bound", "near").alias("bound"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    return first.where(inside).select("key", "bound", "n").unionByName(decided).select("key", F.sqrt("bound").alias("distance"), F.col("n").alias("compared"))

@@ -446,10 +446,9 @@ def nearest_source(src: DataFrame, syn: DataFrame, cols: list[str], syn_key: str
     z = F.array(*[(F.col(c) - F.lit(st["m_" + c])) / F.lit(float(st["s_" + c] or 1.0)) for c in cols])
     points = src.dropna(subset=cols).select(z.alias("x"))
     out = [syn_key, "distance", *(["compared"] if with_compared else [])]
-    queries = syn.dropna(subset=cols).select(syn_key, z.alias("x"))
+    queries = syn.dropna(subset=cols).select(F.col(syn_key).alias("key"), z.alias("x"))
     if points.isEmpty():
-        return queries.select(syn_key, F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("compared")).select(*out).limit(0)
+        return queries.select(F.col("key").alias(syn_key), F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("compared")).select(*out).limit(0)
     levels, cells = split_tree(points, len(cols))
-    queries = written(queries, "queries")
-    found = nearest(queries.select("x").distinct(), levels, cells, len(cols), leaf)
-    return queries.join(found, "x").select(*out)
+    found = nearest(queries, levels, cells, len(cols), leaf)
+    return found.withColumnRenamed("key", syn_key).select(*out)

@@ -72,3 +72,39 @@ def test_distances_of_few_columns_are_written_out(spark, monkeypatch):
     assert few == tuple(both()) == (10.0, 19.0)
     many = {r.id: r.distance for r in validate.nearest_source(src, syn, cols, "id", leaf=16).collect()}
     assert {r.id: r.distance for r in found.collect()} == many
+
+
+@pytest.mark.parametrize("dims,kind", [(2, "clusters"), (1, "ties"), (3, "normal"), (5, "ties")])
+def test_many_cells_and_parts_of_their_queries(spark, monkeypatch, dims, kind):
+    monkeypatch.setattr(nearest.split_tree, "__defaults__", (40,))
+    monkeypatch.setattr(nearest, "PART", 5)
+    rng = np.random.default_rng(dims + 10)
+    a, b = rows_of(rng, 1500, dims, kind), rows_of(rng, 300, dims, kind) * 1.3  # some lie outside all boxes
+    src, cols = frame(spark, a)
+    syn, _ = frame(spark, b, key=True)
+    twice = syn.unionByName(syn.withColumn("id", F.when(F.col("id") < 100, F.col("id"))))  # keys that repeat, and null ones
+    got = [(r.id, r.distance) for r in validate.nearest_source(src, twice, cols, "id", leaf=4).collect()]
+    sd = a.std(axis=0, ddof=1)
+    want = np.sqrt((((b[:, None] - a[None]) / np.where(sd > 0, sd, 1)) ** 2).sum(axis=2).min(axis=1))
+    assert sorted(i for i, _ in got if i is not None) == sorted([*range(300), *range(100)])
+    assert all(abs(d - want[i]) < 1e-9 for i, d in got if i is not None)
+    assert np.allclose(sorted(d for i, d in got if i is None), sorted(want[100:]), atol=1e-9)
+
+
+def test_a_cell_is_searched_in_one_task(spark):
+    """A node, two walks and a list of points for every 32 rows took most of the time at size."""
+    rng = np.random.default_rng(3)
+    src, cols = frame(spark, rows_of(rng, 5000, 2, "normal"))
+    levels, cells = nearest.split_tree(src.select(F.array(*cols).alias("x")), 2)
+    assert levels == [] and cells.select("node").distinct().count() == 1
+    syn, _ = frame(spark, rows_of(rng, 5000, 2, "normal"), key=True)
+    assert validate.nearest_source(src, syn, cols, "id", with_compared=True).selectExpr("sum(compared) / count(*)").first()[0] < 150
+
+
+@pytest.mark.parametrize("n,dims,leaf", [(1, 1, 32), (5, 3, 2), (33, 2, 32), (1000, 2, 7), (500, 8, 16)])
+def test_search_of_a_cell(n, dims, leaf):
+    rng = np.random.default_rng(n)
+    points, queries = rows_of(rng, n, dims, "ties" if n == 500 else "normal"), rng.normal(0, 2, (9000 if n == 1000 else 50, dims))
+    found, compared = nearest.search(queries, points, leaf)
+    gaps = ((queries[:, None] - points[None]) ** 2).sum(axis=2)
+    assert np.allclose(gaps[np.arange(len(queries)), found], gaps.min(axis=1)) and compared.max() <= n and compared.min() >= 1
