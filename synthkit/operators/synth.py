@@ -289,7 +289,8 @@ def bootstrap(df: DataFrame, n: int, key: str, seed: int = 0, mode: str = "md5")
     syn = spark.range(n).select(F.col("id").alias("syn_id"),
                                 F.floor(uniform(seed, "bootstrap", F.col("id"), mode) * F.lit(big_n))
                                 .cast("bigint").alias("_sk_pos"))
-    return syn.join(src, "_sk_pos").drop("_sk_pos").join(df, key)
+    # sizes are planned from compressed files: numbered keys and source rows are merged, never broadcast
+    return syn.join(src.hint("merge"), "_sk_pos").drop("_sk_pos").join(df.hint("merge"), key)
 
 
 def smooth_bootstrap(df: DataFrame, n: int, key: str, cols: list[str], bandwidth: float = 0.1,

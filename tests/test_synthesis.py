@@ -90,3 +90,13 @@ def test_constraints_and_edge_cases_of_a_spec_are_met(spark):
     assert rows.count() == 2050 and rows.where("NOT (age BETWEEN 40 AND 60 AND hba1c < 14)").count() == 0
     assert rows.where("id < 0 AND hba1c > 11").count() == 50 and rows.select("id").distinct().count() == 2050
     assert {r.name: (r.requested, r.shortfall) for r in report.collect()} == {"rows": (2000, 0), "high": (50, 0)}
+
+
+def test_bootstrap_broadcasts_neither_keys_nor_rows(spark):
+    """Sizes are planned from compressed files: millions of numbered keys passed for a small table and filled the driver."""
+    from synthkit.operators.synth import bootstrap
+    source = spark.range(200).select("id", (F.col("id") * 3).alias("v"))
+    drawn = bootstrap(source, 100, "id", seed=1)
+    plan = drawn._jdf.queryExecution().sparkPlan().toString()  # before adaptive execution: made from estimates
+    assert plan.count("SortMergeJoin") == 2 and not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "_sk_pid" not in x]
+    assert drawn.where("v = 3 * id").count() == 100
